@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provara.llm import langid, quality, toxicity
+from provara.llm import exactdedup, langid, pii, quality, toxicity
 from provara.session import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", pii.personal_data(F.col("text")).alias("p"))
+    counts = [F.expr(f"cast(size(filter(p.base, s -> s.kind = '{k}')) as long) as n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, "p.base_sha256", "p.spans", F.size("p.added").cast("long").alias("n_added"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade")))
     return quality.score_quality(docs, model).select("doc_id", "expected_grade", "tail_prob", "keep")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     model = langid.fit_languages(docs.where("not held_out"))
@@ -30,9 +40,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_quality": op3_quality,
+    "op5_exact_dedup": op5_exact_dedup,
     "op6_language": op6_language,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
+w AS (SELECT doc_id, bare, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER o AS place
+      FROM t WINDOW o AS (PARTITION BY bare ORDER BY n_cp DESC, doc_id))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(bare) AS text_sha256 FROM w
+""",
+}
