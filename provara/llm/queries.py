@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provara.llm import exactdedup, langid, pii, quality, toxicity
+from provara.llm import exactdedup, langid, mixing, packing, pii, quality, toxicity
 from provara.session import table
 
 
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", "expected_grade", "tail_prob", "keep")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(table(spark, sf_dir, "documents"))
+    each = found.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade")))
@@ -42,8 +52,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language": op6_language,
+    "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
 }
 
