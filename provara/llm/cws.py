@@ -7,7 +7,7 @@ ln a = ln c - r * (t - beta + 1). The term of least a is the sample, and
 (term, t) its value: two texts share a value with the probability of their
 generalised Jaccard similarity, sum of least weights over sum of greatest.
 The share of equal values is the likeness. Gamma quantiles come from tables
-(r of 2**10 steps; ln c of 2**12 steps, interpolated, with the series for the
+(r of 2**9 steps; ln c of 2**10 steps, interpolated, with the series for the
 lowest step), which a rule below makes.
 
 Rows meet their next row (descending doc_id) in one shuffle: boundaries from
@@ -34,7 +34,7 @@ from provara.llm import shared
 
 SAMPLES = 32
 BUCKET_ROWS, MOST_BUCKETS = 2000, 1024
-_R_BITS, _C_BITS, _BETA_BITS = 10, 12, 12
+_R_BITS, _C_BITS, _BETA_BITS = 9, 10, 12
 _LEAST_ID = -(1 << 63)
 
 
@@ -53,9 +53,9 @@ def _tables() -> tuple[Column, Column]:
     return F.lit(r), F.lit(c)
 
 
-def _sample(k: int, r_table: Column, c_table: Column) -> Column:
+def _sample(k: int) -> Column:
     """One long to take the least of: ln a in the high bits, 31 bits for (term, t) in the low ones."""
-    h = F.xxhash64("term", F.lit(k))
+    h, r_table, c_table = F.xxhash64("term", F.lit(k)), F.col("r_table"), F.col("c_table")
     r = F.get(r_table, F.shiftrightunsigned(h, 64 - _R_BITS).cast("int"))
     beta = F.shiftrightunsigned(h, 52 - _BETA_BITS + 2).bitwiseAND(F.lit((1 << _BETA_BITS) - 1)) / F.lit(float(1 << _BETA_BITS))
     step = F.shiftrightunsigned(h, 30).bitwiseAND(F.lit((1 << _C_BITS) - 1)).cast("int")
@@ -97,8 +97,8 @@ def _with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     both = rows.join(F.broadcast(heads), (F.col("order_id") == F.col("h_id")) & (F.col("not_hash") == F.col("h_hash")), "left")
     own = F.struct(F.col("bucket"), F.lit(False).alias("halo"))
     sent = both.withColumn("dest", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("bucket"), F.lit(True).alias("halo"))))))
-    sent = sent.select("doc_id", "text", "order_id", "not_hash", F.col("dest.bucket").alias("bucket"), F.col("dest.halo").alias("halo")).repartition(n, "bucket")
-    order = Window.partitionBy("bucket").orderBy("halo", F.col("order_id").desc(), F.col("not_hash").desc())
+    sent = sent.select("doc_id", "text", "not_hash", F.col("dest.bucket").alias("bucket"), F.col("dest.halo").alias("halo")).repartition(n, "bucket")
+    order = Window.partitionBy("bucket").orderBy("halo", F.col("doc_id").desc_nulls_last(), F.col("not_hash").desc())
     return sent.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "halo"), n
 
 
@@ -112,10 +112,13 @@ def edited(text: str = "text", next_text: str = "next_text") -> Column:
 def sampled(texts: DataFrame, keys: tuple[str, ...], samples: int = SAMPLES) -> DataFrame:
     """keys and values, the array of samples, of rows (keys, body); no shuffle if rows are dealt by one of the keys already."""
     r_table, c_table = _tables()
-    parts = F.array_remove(F.split("body", r"[\x20\x09-\x0D]+"), "")
-    terms = texts.select(*keys, F.explode(F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)).alias("word")).select(*keys, F.xxhash64("word").alias("term"))
-    weighed = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("w")).withColumn("ln_w", F.log("w"))
-    least = weighed.groupBy(*keys).agg(*(F.min(_sample(k, r_table, c_table)).alias(f"s{k}") for k in range(samples)))
+    has_word = F.col("body").rlike(shared.WORD)
+    words = texts.select(*keys, has_word.alias("has_word"), F.explode(F.split(F.when(has_word, F.col("body")).otherwise(""), r"[\x20\x09-\x0D]+")).alias("word"))
+    terms = words.where("word != '' or not has_word").select(*keys, F.xxhash64("word").alias("term"))
+    weighed = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("w"))
+    # under a condition the tables stay columns: as constants they would be copied into every use of them
+    weighed = weighed.withColumns({"ln_w": F.log("w"), "r_table": F.when(F.col("w") > 0, r_table), "c_table": F.when(F.col("w") > 0, c_table)})
+    least = weighed.groupBy(*keys).agg(*(F.min(_sample(k)).alias(f"s{k}") for k in range(samples)))
     mask = F.lit((1 << 31) - 1)
     return least.select(*keys, F.array(*(F.col(f"s{k}").bitwiseAND(mask) for k in range(samples))).alias("values"))
 
