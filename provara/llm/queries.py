@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provara.llm import cws, exactdedup, langid, mixing, packing, pii, quality, toxicity
+from provara.llm import cws, exactdedup, langid, mixing, neardedup, packing, pii, quality, substrings, toxicity
 from provara.session import table
 
 
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "p.base_sha256", "p.spans", F.size("p.added").cast("long").alias("n_added"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade")))
@@ -37,6 +41,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(table(spark, sf_dir, "documents"))
     each = found.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
@@ -55,10 +63,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language": op6_language,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
