@@ -102,31 +102,36 @@ def repeated_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n_cp, fp, text_sha256 and the bare bytes."""
+    """doc_id, key of the row, n_cp, fp, text_sha256 and the bare bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             bytes_ = [bare(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(np.array([fingerprint(x) for x in bytes_], np.uint64).view(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in bytes_], pa.string()), pa.array(bytes_, pa.binary())], ["doc_id", "n_cp", "fp", "text_sha256", "bare"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(np.array([fingerprint(x) for x in bytes_], np.uint64).view(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in bytes_], pa.string()), pa.array(bytes_, pa.binary())], ["doc_id", "key", "n_cp", "fp", "text_sha256", "bare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_cp long, fp long, text_sha256 string, bare binary")
+    return shared.row_key(docs).mapInArrow(run, "doc_id long, key long, n_cp long, fp long, text_sha256 string, bare binary")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256, one row for each row of docs."""
+    """doc_id, keep_id, group_size, kept, text_sha256 and key (of the row, by doc_id and text), one row for each row of docs."""
     found = shared.written(repeated_fingerprints(docs)).select(F.col("fp").alias("hot_fp"), "n")
     looked = shared.hinted(found)
     rows = _measured(docs)
-    out = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    alone = rows.join(looked, F.col("fp") == F.col("hot_fp"), "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alone = rows.join(looked, F.col("fp") == F.col("hot_fp"), "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "key")
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / SALT_ROWS)).cast("int")
     # rid tells repeated rows apart; the table is written, so it is the same wherever it is read
     many = shared.written(rows.join(looked, F.col("fp") == F.col("hot_fp")).withColumn("rid", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int")).drop("hot_fp"))
     first = many.groupBy("fp").agg(F.min("rid").alias("first_rid"))
     heads = many.join(first.select(F.col("first_rid")), F.col("rid") == F.col("first_rid"), "left_semi").select(F.col("fp").alias("head_fp"), F.col("bare").alias("head"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("head_salt"))
     # a text unlike its group's first (two texts of one fingerprint) is told apart by its digest
-    verified = many.join(heads, (F.col("fp") == F.col("head_fp")) & (F.col("salt") == F.col("head_salt"))).select("doc_id", "n_cp", "rid", "fp", "text_sha256", F.when(F.col("bare") == F.col("head"), F.lit("")).otherwise(F.col("text_sha256")).alias("variant"))
-    best = verified.groupBy(F.col("fp").alias("b_fp"), F.col("variant").alias("b_variant")).agg(F.min(F.struct(-F.col("n_cp"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "rid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    dealt = verified.join(best, (F.col("fp") == F.col("b_fp")) & (F.col("variant") == F.col("b_variant")))
-    return alone.unionByName(dealt.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256").select(*out))
+    verified = many.join(heads, (F.col("fp") == F.col("head_fp")) & (F.col("salt") == F.col("head_salt"))).select("doc_id", "key", "n_cp", "rid", "fp", "n", "salt", "text_sha256", F.when(F.col("bare") == F.col("head"), F.lit("")).otherwise(F.col("text_sha256")).alias("variant"))
+    best = verified.groupBy(F.col("fp").alias("b_fp"), F.col("variant").alias("b_variant")).agg(F.min(F.struct(-F.col("n_cp"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "rid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("group_size"), F.first("n").alias("n"))
+    best = best.withColumn("b_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    dealt = verified.join(best, (F.col("fp") == F.col("b_fp")) & (F.col("salt") == F.col("b_salt")) & (F.col("variant") == F.col("b_variant")))
+    return alone.unionByName(dealt.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", "key"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay; columns as in docs."""
+    return shared.only_kept(docs, shared.written(exact_groups(docs).select("key", "kept")))

@@ -18,7 +18,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardedup.near_groups(table(spark, sf_dir, "documents"))
+    return neardedup.near_groups(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exactdedup.exact_groups(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,14 @@ def row_key(docs: DataFrame) -> DataFrame:
 def n_inputs(df: DataFrame) -> int:
     """Partitions that a plan starts from."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def only_kept(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """docs without the rows told (key, kept; a written table) to go; of repeated rows of which one stays, one does."""
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("provara_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce("text", F.lit(""))))
+    keys = told.groupBy(F.col("key").alias("k")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone, twice = written(keys.where("not stays or n > 1").select("k")), written(keys.where("stays and n > 1").select("k"))
+    alone = keyed.join(hinted(gone), F.col("provara_key") == F.col("k"), "left_anti")
+    one = keyed.join(hinted(twice), F.col("provara_key") == F.col("k"), "left_semi").dropDuplicates(["provara_key"])
+    return alone.unionByName(one).alias("d").select(*own)
