@@ -35,6 +35,7 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 UNIT = 1 << 20
 
 _SENT = "rng int, told boolean, h1 binary, h2 binary, key binary, pos binary"
+_PARTS = "rng int, key binary, pos binary"
 _FOUND = "key long, pos binary"
 
 Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # h1, h2, key, position
@@ -74,26 +75,40 @@ def _sent(parts: list[Windows], bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rng", "told", "h1", "h2", "key", "pos"])
 
 
-def _answered(group: pa.Table) -> pa.Table:
-    """Row key and positions of the windows of one range that stand in more than one place."""
-    told = np.array(group.column("told").to_pylist(), bool)
-    h1, h2, key, pos = ([np.frombuffer(x, t) for x in group.column(c).to_pylist()] for c, t in (("h1", np.uint64), ("h2", np.uint64), ("key", np.int64), ("pos", np.int32)))
-    none = [np.zeros(0, np.int64)]
-    keys, places = np.concatenate([k for k, t in zip(key, told, strict=True) if t] or none), np.concatenate([p for p, t in zip(pos, told, strict=True) if t] or none)
-    if not told.all():
-        asked = [i for i in range(len(told)) if not told[i]]
-        order, twice, _ = _grouped(np.concatenate([h1[i] for i in asked]), np.concatenate([h2[i] for i in asked]))
-        k, p = np.concatenate([key[i] for i in asked])[order], np.concatenate([pos[i] for i in asked])[order]
-        keep = twice & (p >= 0)
-        keys, places = np.concatenate([keys, k[keep]]), np.concatenate([places, p[keep]])
+def _answered(bits: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one range of hashes: row keys and positions of the windows that stand in more than one place, by range of the keys."""
+
+    def run(group: pa.Table) -> pa.Table:
+        told = np.array(group.column("told").to_pylist(), bool)
+        h1, h2, key, pos = ([np.frombuffer(x, t) for x in group.column(c).to_pylist()] for c, t in (("h1", np.uint64), ("h2", np.uint64), ("key", np.int64), ("pos", np.int32)))
+        none = [np.zeros(0, np.int64)]
+        keys, places = np.concatenate([k for k, t in zip(key, told, strict=True) if t] or none), np.concatenate([p for p, t in zip(pos, told, strict=True) if t] or none)
+        if not told.all():
+            asked = [i for i in range(len(told)) if not told[i]]
+            order, twice, _ = _grouped(np.concatenate([h1[i] for i in asked]), np.concatenate([h2[i] for i in asked]))
+            k, p = np.concatenate([key[i] for i in asked])[order], np.concatenate([pos[i] for i in asked])[order]
+            keep = twice & (p >= 0)
+            keys, places = np.concatenate([keys, k[keep]]), np.concatenate([places, p[keep]])
+        spread = mix(keys.view(np.uint64))
+        o = np.argsort(spread, kind="stable")
+        rows = [(q, keys[o[a:z]].tobytes(), places[o[a:z]].astype(np.int32).tobytes()) for q, a, z in _cut(spread[o], bits)] if len(keys) else []
+        return pa.table({"rng": pa.array([r[0] for r in rows], pa.int32()), "key": pa.array([r[1] for r in rows], pa.binary()), "pos": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def _by_row(group: pa.Table) -> pa.Table:
+    """Of one range of row keys: the positions of each."""
+    keys = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("key").to_pylist()])
+    places = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("pos").to_pylist()])
     order = np.argsort(keys, kind="stable")
-    keys, places = keys[order], places[order].astype(np.int32)
+    keys, places = keys[order], places[order]
     used, first = np.unique(keys, return_index=True)
     return pa.table({"key": pa.array(used, pa.int64()), "pos": pa.array([places[a:z].tobytes() for a, z in zip(first, [*first[1:], len(keys)], strict=True)], pa.binary())})
 
 
 def _repeats(rows: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[Windows]], bits: int) -> DataFrame:
-    """key and parts (arrays of positions) of the windows that repeat anywhere."""
+    """key and pos (int32 positions) of the windows that repeat anywhere, one row a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -108,7 +123,7 @@ def _repeats(rows: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[Windo
         if n:
             yield _sent(held, bits)
 
-    return rows.mapInArrow(run, _SENT).groupBy("rng").applyInArrow(_answered, _FOUND).groupBy("key").agg(F.collect_list("pos").alias("parts"))
+    return rows.mapInArrow(run, _SENT).groupBy("rng").applyInArrow(_answered(bits), _PARTS).groupBy("rng").applyInArrow(_by_row, _FOUND)
 
 
 def _anchors(window: int) -> Callable[[pa.RecordBatch], Iterator[Windows]]:
@@ -129,9 +144,9 @@ def _anchors(window: int) -> Callable[[pa.RecordBatch], Iterator[Windows]]:
     return run
 
 
-def _positions(parts: pa.Array, rows: range, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _positions(places: pa.Array, rows: range, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row in the slice and word in the slice of all positions."""
-    each = [np.concatenate([np.frombuffer(x, np.int32) for x in p]) if p else np.zeros(0, np.int32) for p in parts.slice(rows.start, len(rows)).to_pylist()]
+    each = [np.frombuffer(p, np.int32) for p in places.slice(rows.start, len(rows)).to_pylist()]
     row = np.repeat(np.arange(len(rows)), [len(p) for p in each])
     return row, first[row] + np.concatenate(each).astype(np.int64)
 
@@ -140,7 +155,7 @@ def _extended(window: int) -> Callable[[pa.RecordBatch], Iterator[Windows]]:
     def run(b: pa.RecordBatch) -> Iterator[Windows]:
         keys = b.column("key").to_numpy()
         for s in slices(b.column("text")):
-            row, anchor = _positions(b.column("parts"), s.rows, s.first)
+            row, anchor = _positions(b.column("pos"), s.rows, s.first)
             change = np.zeros(int(s.first[-1]) + 2, np.int64)
             np.add.at(change, np.maximum(s.first[row], anchor - PERIOD + 1), 1)
             np.add.at(change, anchor + 1, -1)
@@ -157,12 +172,12 @@ def _result(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, parts in zip(b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True):
+            for text, places in zip(b.column("text").to_pylist(), b.column("pos").to_pylist(), strict=True):
                 words = text.encode().split()  # bytes split at exactly the contract's white space
                 kept = words
-                if parts:
+                if places:
                     change = np.zeros(len(words) + 1, np.int64)
-                    at = np.concatenate([np.frombuffer(x, np.int32) for x in parts])
+                    at = np.frombuffer(places, np.int32)
                     np.add.at(change, at, 1)
                     np.add.at(change, np.minimum(at + window, len(words)), -1)
                     keep = np.cumsum(change)[:-1] == 0
@@ -189,6 +204,6 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     repeated = shared.written(_repeats(_of_keys(rows.select("key", "text"), anchored), _extended(window), bits))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     keys = repeated.select("key")
-    whole = rows.join(shared.hinted(keys), "key", "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("parts"))
-    cut = _of_keys(rows, repeated).select("doc_id", "text", "parts")
+    whole = rows.join(shared.hinted(keys), "key", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("pos"))
+    cut = _of_keys(rows, repeated).select("doc_id", "text", "pos")
     return whole.mapInArrow(_result(window), schema).unionByName(cut.mapInArrow(_result(window), schema))
