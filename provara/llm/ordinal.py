@@ -16,7 +16,7 @@ or one grade only, the model gives every text that grade (or grade 0).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from provara.llm.arrowtext import Slice, slices
 
 BITS = 18
+#: Entries of the training rows worked on at once, which bounds what fitting holds beside them.
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -107,26 +109,38 @@ def fit(docs: DataFrame, ratings: DataFrame, features: Features, max_rows: int =
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(own.start, own.stop - own.start), b.column("grade").slice(own.start, own.stop - own.start), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["doc_id", "grade", "feature", "value"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("rated_id")).select("doc_id", "text", "grade")
-    rows = sorted(joined.mapInArrow(extract, "doc_id long, grade int, feature binary, value binary").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rows).collect(), key=lambda r: (r.doc_id, r.grade, bytes(r.feature)))
-    grades = tuple(sorted({r.grade for r in rows}))
-    if len(grades) < 2:
-        return OrdinalModel(features, grades or (0,), ())
-    rank = np.searchsorted(grades, [r.grade for r in rows])
-    parts = [(np.frombuffer(r.feature, np.int32), np.frombuffer(r.value, np.float32)) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in parts])
-    feature, value = np.concatenate([f for f, _ in parts]).astype(np.int64), np.concatenate([v for _, v in parts]).astype(float)
-    thresholds, weights = solve(row, feature, value, rank, len(grades), l1, rounds)
+    rows = joined.mapInArrow(extract, "doc_id long, grade int, feature binary, value binary").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rows).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r.feature)))
+    ranked = sorted({r.grade for r in rows})
+    if len(ranked) < 2:
+        return OrdinalModel(features, tuple(ranked) or (0,), ())
+    rank = np.searchsorted(ranked, [r.grade for r in rows])
+    lengths = [len(r.feature) // 4 for r in rows]
+    feature, value = np.frombuffer(b"".join(r.feature for r in rows), np.int32), np.frombuffer(b"".join(r.value for r in rows), np.float32)
+    del rows
+    row = np.repeat(np.arange(len(rank), dtype=np.int32), lengths)
+    thresholds, weights = solve(row, feature, value, rank, len(ranked), l1, rounds)
     index = np.flatnonzero(weights)
-    return OrdinalModel(features, grades, tuple(map(float, thresholds)), tuple(map(int, index)), tuple(map(float, weights[index])))
+    return OrdinalModel(features, tuple(ranked), tuple(map(float, thresholds)), tuple(map(int, index)), tuple(map(float, weights[index])))
+
+
+def summed(at: np.ndarray, of: Callable[[slice], np.ndarray] | None, size: int) -> np.ndarray:
+    """Sums by place of what ``of`` gives for a run of entries (counts without it), CHUNK entries at a time."""
+    out = np.zeros(size)
+    for a in range(0, len(at), CHUNK):
+        c = slice(a, a + CHUNK)
+        out += np.bincount(at[c], of(c) if of else None, minlength=size)
+    return out
 
 
 def solve(row: np.ndarray, feature: np.ndarray, value: np.ndarray, rank: np.ndarray, n_grades: int, l1: float, rounds: int, rare: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Thresholds and weights by proximal AdaGrad on the mean negative log-likelihood plus l1 * |w|. Features in under ``rare`` rows are left out."""
     n, size = len(rank), 1 << BITS
-    common = np.bincount(feature, minlength=size) >= rare
+    common = summed(feature, None, size) >= rare
+    kept = np.flatnonzero(common)
+    place = np.cumsum(common, dtype=np.int32) - 1
     keep = common[feature]
-    kept, inverse = np.unique(feature[keep], return_inverse=True)
-    row, value = row[keep], value[keep]
+    row, value, inverse = row[keep], value[keep], place[feature[keep]]
     weights, speed = np.zeros(len(kept)), np.full(len(kept), 1e-8)
     share = np.clip(np.cumsum(np.bincount(rank, minlength=n_grades))[:-1] / n, 1e-6, 1 - 1e-6)
     at = np.log(share / (1 - share))
@@ -135,12 +149,13 @@ def solve(row: np.ndarray, feature: np.ndarray, value: np.ndarray, rank: np.ndar
     low, high = rank > 0, rank < n_grades - 1
     for _ in range(rounds):
         thresholds = np.cumsum(np.concatenate([base[:1], np.exp(base[1:])]))
-        z = np.bincount(row, weights[inverse] * value, minlength=n)
+        z = summed(row, lambda c: weights[inverse[c]] * value[c], n)
         upper = np.where(high, 1 / (1 + np.exp(-np.clip(thresholds[np.minimum(rank, n_grades - 2)] - z, -30, 30))), 1.0)
         lower = np.where(low, 1 / (1 + np.exp(-np.clip(thresholds[np.maximum(rank - 1, 0)] - z, -30, 30))), 0.0)
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        g = np.bincount(inverse, (du - dl)[row] * value, minlength=len(kept)) / n
+        pull = du - dl
+        g = summed(inverse, lambda c: pull[row[c]] * value[c], len(kept)) / n
         speed += g * g
         step = 0.5 / np.sqrt(speed)
         weights -= step * g
