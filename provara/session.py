@@ -9,11 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch: with long texts a batch of the default number of rows would not be bounded by a task's share of memory.
+ARROW_BYTES = 8 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once per application, so that Arrow functions can be unpickled there."""
+    """Sends this package's modules to the executors, once per application, so that Arrow functions can be unpickled there, and bounds the session's Arrow batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
