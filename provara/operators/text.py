@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Mapping
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from provara.functions.numeric import CONFIG
 
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+# Words that never count as tokens.
+STOPWORDS = tuple(
+    """
+a an the and or but if then than of in on at to for with from by as is are was were be been
+being do does did doing have has had having i me my we our you your he she it they them their
+this that these those will would shall should can could may might must not no nor so such very
+s t don just now also using used use work worked working experience
+""".split()
+)
 
 
 def tokens(text: Column) -> Column:
@@ -53,8 +66,14 @@ def bm25(docs: DataFrame, query: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(hit.groupBy("doc_id").agg(F.sum(part).alias("s")), "doc_id", "left").select("doc_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
 
 
-#: First match wins, in this order.
-INTENTS = (("COMPARE", r"\b(compare|versus|vs)\b"), ("MISSING", r"\b(missing|lack|lacks|gap|gaps)\b"), ("WHO_HAS", r"\bwho\b"), ("TOP_N", r"\b(top|best)\b"), ("WHY", r"\bwhy\b"))
+# Intents of a question; the first match wins, in this order.
+INTENTS = (
+    ("COMPARE", r"\b(compare|versus|vs\.?)\b|\bwhy is .+ (above|over|ahead of|better than|higher than|ranked higher)\b|\b(difference|differ) between\b"),
+    ("MISSING", r"\b(missing|lack(s|ing)?|gap(s)?|weakness(es)?|short on|doesn'?t have|does not have|what.{0,12}(need|lack))\b"),
+    ("WHO_HAS", r"\bwho\b.{0,24}\b(has|have|knows?|can|with|experience)\b|\b(which|any) candidates?\b|\bwho else\b"),
+    ("TOP_N", r"\btop\s*\d*\b|\bbest\b|\bshortlist\b|\branking\b|\bstrongest\b|\bwho should (i|we)\b"),
+    ("WHY", r"\bwhy\b|\bexplain\b|\bjustif(y|ication)\b|\breason\b|\bhow did\b|\btell me about\b"),
+)
 
 
 def intent(text: Column) -> Column:
@@ -62,3 +81,84 @@ def intent(text: Column) -> Column:
     for name, pattern in reversed(INTENTS):
         out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
     return out
+
+
+# What parses out of page layouts must lose.
+BULLETS = "•▪◦‣∙·●○■□–—‒―*"
+
+
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def repaired(text: Column) -> Column:
+    """Compatibility forms unified, control characters out, words broken at line ends joined, bullets and runs of spaces out of every line, at most one blank line in a row. Null counts as empty."""
+    t = F.translate(_nfkc(F.coalesce(text, F.lit(""))), "İ", "I")
+    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
+    t = F.regexp_replace(t, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
+    t = F.regexp_replace(t, r"\r\n?", "\n")
+    per_line = F.transform(F.split(t, "\n"), lambda x: stripped(F.regexp_replace(F.regexp_replace(x, rf"(?U)^[\s{BULLETS}]+", ""), r"[ \t\u00a0]+", " ")))
+    return stripped(F.regexp_replace(F.array_join(per_line, "\n"), r"\n{3,}", "\n\n"))
+
+
+def folded(text: Column, aliases: Mapping[str, str]) -> Column:
+    """Lower-case text with each alias replaced by its canonical form, in one pass, longest alias first; what a replacement writes is not looked at again."""
+    keys = sorted((k.lower() for k in aliases), key=lambda k: (-len(k), k))
+    if not keys:
+        return F.lower(text)
+    either = "|".join(rf"\Q{k}\E" for k in keys)
+    table = F.create_map(*(F.lit(x) for k, v in aliases.items() for x in (k.lower(), v)))
+    parts = F.split(F.regexp_replace(F.lower(text), rf"(?<![A-Za-z0-9])({either})(?![A-Za-z0-9])", "\x01$1\x01"), "\x01")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.try_element_at(table, p)).otherwise(p)), "")
+
+
+def trimmed(text: Column, limit: int = 150) -> Column:
+    """Spaces collapsed; cut to ``limit`` characters, the last an ellipsis."""
+    t = F.regexp_replace(stripped(text), r"(?U)\s+", " ")
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit - 1), r"\s+$", ""), F.lit("…")))
+
+
+def listed(items: Column, conjunction: str = "and", limit: int | None = None) -> Column:
+    """'A', 'A and B', 'A, B and C', or 'A, B and 3 more' beyond the limit."""
+    kept = F.filter(items, lambda x: x != "")
+    n = F.size(kept)
+    out = F.when(n <= 1, F.array_join(kept, "")).otherwise(F.concat(F.array_join(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(f" {conjunction} "), F.element_at(kept, -1)))
+    if limit:
+        out = F.when(n > limit, F.concat(F.array_join(F.slice(kept, 1, limit), ", "), F.lit(" and "), (n - limit).cast("string"), F.lit(" more"))).otherwise(out)
+    return out
+
+
+def around(text: Column, start: Column, end: Column) -> Column:
+    """struct(before, inside, after) of a span, null if it is not in the text."""
+    fits = (start >= 0) & (end > start) & (end <= F.length(text))
+    return F.when(fits, F.struct(F.substring(text, F.lit(1), start).alias("before"), F.substring(text, start + 1, end - start).alias("inside"), F.substring(text, end + 1, F.length(text)).alias("after")))
+
+
+def display_name(doc_id: Column, text: Column) -> Column:
+    """The first of six lines that has the shape of a person's name, else the id in title case."""
+    shaped = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 6), stripped), lambda x: x.rlike(r"^[A-Z][a-zA-Z.'-]+(?: [A-Z][a-zA-Z.'-]+){1,3}$") & ~F.lower(x).rlike("resume|curriculum|vitae|profile"))
+    stem = F.initcap(F.regexp_replace(F.regexp_replace(doc_id.cast("string"), r"^c?\d+[_-]", ""), r"[_-]+", " "))
+    return F.coalesce(F.get(shaped, F.lit(0)), F.when(stem != "", stem), doc_id.cast("string"))
+
+
+def parse_quality(text: Column, n_sections: Column, n_chunks: Column, fallback: Column) -> Column:
+    """Volume, structure, density and legibility as 0..1; a text from the fallback reader counts 5% less."""
+    score = 0.40 * F.least(F.length(stripped(text)) / 1200.0, F.lit(1.0)) + 0.20 * F.least(n_sections / 4.0, F.lit(1.0)) + 0.20 * F.least(n_chunks / 15.0, F.lit(1.0)) + 0.20 * alpha_ratio(text)
+    return F.when(F.length(stripped(F.coalesce(text, F.lit("")))) == 0, 0.0).otherwise(F.bround(F.when(fallback, score * 0.95).otherwise(score), 3))
+
+
+def usable(text: Column) -> Column:
+    return (F.length(stripped(text)) >= 200) & (alpha_ratio(text) >= 0.5)
+
+
+def in_section(chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """chunks (doc_id, start, ...) with the section that holds their start: the first declared (least seq) of sections (doc_id, name, seq, start, end), else UNKNOWN. The range test is under an equi-join on doc_id."""
+    s = sections.select("doc_id", F.col("start").alias("_from"), F.col("end").alias("_to"), F.struct("seq", "name").alias("_s"))
+    keys = chunks.select("doc_id", "start").distinct()
+    hit = keys.join(s, "doc_id").where("_from <= start and start < _to").groupBy("doc_id", "start").agg(F.min("_s")["name"].alias("section"))
+    return chunks.join(hit, ["doc_id", "start"], "left").withColumn("section", F.coalesce("section", F.lit("UNKNOWN")))

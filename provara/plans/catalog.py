@@ -6,29 +6,15 @@ evidence. Text operators run over documents, dated claims over events.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provara.functions.numeric import recency
 from provara.operators import fusion, text
+from provara.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from provara.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
 
 
 def skills(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +222,7 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
     return text.bm25(_docs(spark, d), asked)
 
 
-@query("G01_intents", "SELECT role, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in text.INTENTS) + " ELSE 'FALLBACK' END AS intent, count(*) AS n FROM conversations GROUP BY 1, 2")
+@query("G01_intents", "SELECT role, CASE " + " ".join("WHEN regexp_matches(lower(text), '{}') THEN '{}'".format(p.replace("'", "''"), n) for n, p in text.INTENTS) + " ELSE 'FALLBACK' END AS intent, count(*) AS n FROM conversations GROUP BY 1, 2")
 def _intents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("role", text.intent(F.col("text")).alias("intent")).groupBy("role", "intent").agg(F.count(F.lit(1)).alias("n"))
 
