@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from provara.functions.numeric import CONFIG
 from provara.operators import fusion
 
-#: Penalties of findings by severity.
-PENALTY = {"high": 25, "medium": 12, "low": 5}
+# Penalties of findings by severity; any other severity counts as low.
+PENALTY = {"critical": 30, "high": 12, "medium": 6, "low": 2}
 
 
 def explained(cells: DataFrame, top: int = 3) -> DataFrame:
@@ -79,7 +79,7 @@ def who_has(cells: DataFrame, ranked: DataFrame, skill: str) -> DataFrame:
 
 def top_asked(question: Column, pool: Column) -> Column:
     """How many a question asks for: its number, else 3, at least 1 and at most the pool."""
-    n = F.regexp_extract(F.lower(question), r"\b(\d{1,3})\b", 1)
+    n = F.regexp_extract(F.lower(question), r"\btop\s*(\d{1,9})", 1)
     return F.least(F.greatest(F.when(n == "", 3).otherwise(n.try_cast("int")), F.lit(1)), pool.cast("int"))
 
 
@@ -96,5 +96,5 @@ def questions(cells: DataFrame, verdicts: DataFrame, difficulty: DataFrame) -> D
 
 def inclusivity(findings: DataFrame) -> DataFrame:
     """score of each text from its findings (doc_id, severity)."""
-    cost = F.sum(F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in PENALTY.items() for x in kv)), F.col("severity")), F.lit(0)))
+    cost = F.sum(F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in PENALTY.items() for x in kv)), F.col("severity")), F.lit(PENALTY["low"])))
     return findings.groupBy("doc_id").agg(F.greatest(F.lit(0), F.lit(100) - cost).cast("long").alias("score"))

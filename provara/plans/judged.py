@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provara.operators import fusion, judgement, taxonomy, views
-from provara.plans import catalog
+from provara.plans import catalog, service
 from provara.plans.catalog import BASE
 from provara.plans.registry import query
 from provara.session import table
+from provara.sources import documents
 
 # The concept tree: nations under regions, the first three regions under "world", all under "all"; two brands to a nation.
 
@@ -194,7 +195,7 @@ def _who(spark: SparkSession, d: str) -> DataFrame:
     return views.who_has(catalog.cells(spark, d), fusion.ranked(catalog.prims(spark, d)), "Brand#11")
 
 
-@query("G09_top_asked", r"SELECT conv_id, turn, least(greatest(CASE WHEN n = '' THEN 3 ELSE n::INT END, 1), 100)::INT AS n FROM (SELECT conv_id, turn, coalesce(regexp_extract(lower(text), '\b(\d{1,3})\b', 1), '') AS n FROM conversations)")
+@query("G09_top_asked", r"SELECT conv_id, turn, least(greatest(CASE WHEN n = '' THEN 3 ELSE n::INT END, 1), 100)::INT AS n FROM (SELECT conv_id, turn, coalesce(regexp_extract(lower(text), '\btop\s*(\d{1,9})', 1), '') AS n FROM conversations)")
 def _top(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", views.top_asked(F.coalesce("text", F.lit("")), F.lit(100)).alias("n"))
 
@@ -207,8 +208,39 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return views.questions(catalog.cells(spark, d), _verdicts(spark, d), hard)
 
 
-@query("B06_inclusivity", "SELECT user_id AS doc_id, greatest(0, 100 - sum(CASE event_type WHEN 'error' THEN 25 WHEN 'signup' THEN 12 WHEN 'purchase' THEN 5 ELSE 0 END))::BIGINT AS score FROM events GROUP BY 1")
+@query("B06_inclusivity", "SELECT user_id AS doc_id, greatest(0, 100 - sum(CASE event_type WHEN 'error' THEN 30 WHEN 'signup' THEN 12 WHEN 'purchase' THEN 6 ELSE 2 END))::BIGINT AS score FROM events GROUP BY 1")
 def _inclusivity(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_type")
-    kind = F.when(e == "error", "high").when(e == "signup", "medium").when(e == "purchase", "low").otherwise("none")
+    kind = F.when(e == "error", "critical").when(e == "signup", "high").when(e == "purchase", "medium").otherwise("other")
     return views.inclusivity(table(spark, d, "events").select(F.col("user_id").alias("doc_id"), kind.alias("severity")))
+
+
+_HANDLE = "(?i)(?:https?://)?(?:www\\.)?github\\.com/([A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?)"
+
+
+@query("E01_handles", f"""SELECT o_orderkey, list_filter(regexp_extract_all(t, '{_HANDLE}', 1), lambda h: NOT (lower(h) IN ('topics', 'about')))[1] AS github, nullif(regexp_extract(t, '(?i)linkedin\\.com/in/([A-Za-z0-9%-]{{3,100}})', 1), '') AS linkedin
+FROM (SELECT o_orderkey, (['see github.com/topics and https://GitHub.com/u' || o_custkey || '-x/repo', 'www.linkedin.com/in/p-' || o_custkey || '/', 'github.com/About', 'none'])[o_orderkey % 4 + 1] AS t FROM orders)""")
+def _handles(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("o_custkey").cast("string")
+    told = F.array(F.concat(F.lit("see github.com/topics and https://GitHub.com/u"), c, F.lit("-x/repo")), F.concat(F.lit("www.linkedin.com/in/p-"), c, F.lit("/")), F.lit("github.com/About"), F.lit("none"))
+    h = table(spark, d, "orders").select("o_orderkey", documents.handles(F.element_at(told, (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("h"))
+    return h.select("o_orderkey", "h.github", "h.linkedin")
+
+
+@query("E05_main_languages", """WITH b AS (SELECT o_custkey AS handle, o_orderstatus AS name, o_orderpriority AS language, round(sum(o_totalprice), 2) AS bytes FROM orders GROUP BY 1, 2, 3)
+SELECT handle, name, language FROM (SELECT *, sum(bytes) OVER (PARTITION BY handle, name) AS total FROM b) WHERE bytes >= 0.05::DOUBLE * total""")
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("handle"), F.col("o_orderstatus").alias("name"), "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("bytes"))
+    return documents.main_languages(b.groupBy("handle", "name").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "bytes"))).alias("languages")))
+
+
+@query("F16_without_skills", BASE + "SELECT doc_id, round(round(sum(weight * lex_eff) / sum(weight), 10), 6) AS lex_cov FROM cells WHERE skill NOT IN ('Brand#11', 'Brand#12') GROUP BY doc_id")
+def _without(spark: SparkSession, d: str) -> DataFrame:
+    left = catalog.cells(spark, d).join(F.broadcast(spark.createDataFrame([("Brand#11",), ("Brand#12",)], "skill string")), "skill", "left_anti")
+    return fusion.rollups(left).select("doc_id", F.round(F.round("lex_cov", 10), 6).alias("lex_cov"))
+
+
+@query("F21_moves_by_alpha", BASE + """, o AS (SELECT doc_id, row_number() OVER (ORDER BY round_even(100.0::DOUBLE * (0.8::DOUBLE * k + (1 - 0.8::DOUBLE) * m), 2) DESC, doc_id) AS then_rank FROM p)
+SELECT doc_id, rank, then_rank, rank - then_rank AS moved FROM ranked JOIN o USING (doc_id)""")
+def _moves(spark: SparkSession, d: str) -> DataFrame:
+    return service.moved(catalog.prims(spark, d), 0.5, 0.8)
