@@ -13,11 +13,11 @@ their weighted Jaccard similarity.
 fewer above. Documents of equal words are one vertex. In each bucket all
 vertices are first compared with the least one. Buckets that then still hold
 several components are compared with further members picked by hash. What is
-still open is compared in full between components: small buckets as they are,
-larger ones parted by the bands that follow, of which alike vertices share some
-too (finer buckets that are still large are compared with picked members). Work
-so stays in proportion to the buckets' sizes. Every comparison is exact, on the
-multisets of 64-bit shingle hashes. Classes are the
+still open is compared between components without a further miss: small buckets
+in full, the members of all larger ones by an exact join on the rarest shingles
+of each (prefix, length and position filter), which leaves out only pairs that
+cannot reach ``least``. Every comparison is exact, on the multisets of 64-bit
+shingle hashes. Classes are the
 components of pairs of similarity ``least`` or more; they are found by passing
 least labels on, with every round written to the shared folder.
 
@@ -41,8 +41,10 @@ from provara.llm.arrowtext import Slice, mix, slices, window_hashes, within
 SHINGLE, BANDS, ROWS = 5, 28, 5
 #: Members by which a bucket of several components is compared in a round, and rounds at most.
 HUBS, HUB_ROUNDS = 3, 2
-#: Buckets up to this size are compared in full between components; larger ones are first parted by the next FINER bands.
-SMALL, FINER = 16, 3
+#: Buckets up to this size are compared in full between components; the members of larger ones by common rare shingles.
+SMALL = 16
+#: Shingles that so many bags have count as frequent, and at most so many of them are ranked by it; neither has a bearing on results.
+COMMON, RANKED = 8, 100_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,6 +197,65 @@ def _hub_pairs(open_: DataFrame, t: int) -> DataFrame:
     return each.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
 
 
+def _frequent(bags: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of bags, sorted, and the number of bags that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value, n = np.unique(np.frombuffer(b"".join(b.column("bag").to_pylist()), np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["value", "n"])
+
+    counts = bags.select("bag").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    got = counts.orderBy(F.desc("n"), "value").limit(RANKED).toArrow()
+    value, n = got.column("value").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(value)
+    return value[order], n[order]
+
+
+def _prefixes(least: float, common: np.ndarray, frequency: np.ndarray):
+    """v, root, n (size of the bag) and its first shingles, rare ones first, with their places; first: whether the place counts for the smaller bag of a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, root, n, value, place, first = [], [], [], [], [], []
+            for v_, root_, bag in zip(b.column("v").to_pylist(), b.column("root").to_pylist(), b.column("bag"), strict=True):
+                x = np.frombuffer(bag.as_py(), np.uint64)
+                often = np.zeros(len(x), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    often = np.where(common[at] == x, frequency[at], 0)
+                # alike bags have at least least x n shingles in common, the smaller one 2 least / (1 + least) x n
+                probe, index = (len(x) - int(np.ceil(share * len(x) - 1e-6)) + 1 for share in (least, 2 * least / (1 + least)))
+                taken = np.lexsort((x, often))[:probe]
+                k = len(taken)
+                v.append(np.full(k, v_)), root.append(np.full(k, root_)), n.append(np.full(k, len(x))), value.append(x[taken]), place.append(np.arange(k)), first.append(np.arange(k) < index)
+            if v:
+                cols = [np.concatenate(c) for c in (v, root, n, value, place, first)]
+                cols[3] = cols[3].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 5 + (pa.bool_(),), strict=True)], ["v", "root", "n", "value", "place", "first"])
+
+    return run
+
+
+def _prefix_pairs(bags: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) of bags (v, root, bag) of different roots that hold every pair of similarity ``least`` or more.
+
+    With all shingles in one order, rare ones first, the first shingle that two
+    alike bags have in common stands early in both, and enough follow it in
+    both. The order only decides how many other pairs come along.
+    """
+    p = shared.written(bags.mapInArrow(_prefixes(least, *_frequent(bags)), "v long, root long, n long, value long, place long, first boolean"))
+    met = p.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
+    # the members of a shingle are met in several parts if they are many
+    p = p.join(met.select("value", F.ceil(F.sqrt("m") / 8).cast("int").alias("parts")), "value")
+    short = p.where("first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("s")
+    long_ = p.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).alias("l")
+    sized = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.v") < F.col("l.v")))
+    enough = F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place")) >= (F.col("s.n") + F.col("l.n")) * (least / (1 + least)) - 1e-6
+    on = (F.col("s.value") == F.col("l.value")) & (F.col("s.part") == F.col("l.part")) & (F.col("s.root") != F.col("l.root")) & sized & (F.col("s.n") >= F.col("l.n") * least - 1e-6) & enough
+    return short.join(long_, on).select(F.least("s.v", "l.v").alias("a"), F.greatest("s.v", "l.v").alias("b"))
+
+
 def near_groups(docs: DataFrame, least: float = 0.8, size: int = SHINGLE, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, class_size, kept and key (of the row, by doc_id and text), one row for each row of docs. The kept row has doc_id class_id; its repeated rows are marked too."""
     rows = shared.row_key(docs)
@@ -216,15 +277,13 @@ def near_groups(docs: DataFrame, least: float = 0.8, size: int = SHINGLE, n_band
         links = links.unionByName(more)
         roots = components(links)
     open_ = shared.written(_open(members, roots))
-    # in a large bucket, alike vertices share other bands too: the next few bands part it into finer buckets
-    wide = open_.where(F.col("n") > SMALL).join(vertices.select("v", "bands"), "v")
-    finer = wide.select(F.explode(F.array(*(F.struct(F.xxhash64("band", F.get("bands", F.pmod(F.col("i") + j, F.lit(n_bands)).cast("int")), F.lit(j)).alias("band"), "i", "v") for j in range(1, FINER + 1)))).alias("m")).select("m.*")
-    finer = shared.written(_open(finer, roots))
-    small = open_.where(F.col("n") <= SMALL).unionByName(finer.where(F.col("n") <= SMALL))
-    left, right = (small.select("band", F.col("v").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    left, right = (open_.where(F.col("n") <= SMALL).select("band", F.col("v").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
     # within components nothing is left to find, so only pairs between two of them are made
     across = left.join(right, "band").where("a < b and root_a != root_b").select("a", "b")
-    across = across.unionByName(_hub_pairs(finer.where(F.col("n") > SMALL), HUB_ROUNDS)).distinct().join(pairs, ["a", "b"], "left_anti")
+    wide = shared.written(open_.where(F.col("n") > SMALL).select("v", "root").distinct())
+    if wide.limit(1).count():
+        across = across.unionByName(_prefix_pairs(shared.written(bags.join(shared.hinted(wide), "v")), least))
+    across = across.distinct().join(pairs, ["a", "b"], "left_anti")
     more = shared.written(_verified(shared.written(across), bags, least))
     if more.limit(1).count():
         roots = components(links.unionByName(more))

@@ -73,6 +73,22 @@ def test_near_groups(docs):
     assert len(got) == len(_rows()) and neardedup.near_deduplicated(docs).count() == len(by)
 
 
+def _of_one_passage(spark, own, changed):
+    """300 pairs of similarity a little above 0.8, of texts that begin with the same 160 words; texts of different pairs are below."""
+    r = random.Random(1)
+    some = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    passage, rows = some(160), []
+    for i in range(300):
+        body = some(own)
+        rows += [(2 * i, " ".join(passage + body)), (2 * i + 1, " ".join(passage + body[:-changed] + some(changed)))]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_near_pairs_that_meet_only_in_large_buckets(spark):
+    got = neardedup.near_groups(_of_one_passage(spark, 28, 20)).collect()
+    assert len(got) == 600 and all(g.class_id == g.doc_id // 2 * 2 and g.class_size == 2 for g in got)
+
+
 def test_signature_collision_rate():
     r = np.random.default_rng(1)
     a, b = r.integers(1, 6, 200), r.integers(1, 6, 200)
