@@ -89,6 +89,12 @@ def test_near_pairs_that_meet_only_in_large_buckets(spark):
     assert len(got) == 600 and all(g.class_id == g.doc_id // 2 * 2 and g.class_size == 2 for g in got)
 
 
+def test_near_many_classes_in_one_bucket(spark):
+    # bands of one place: any two of them together still put far more than 16 texts in a bucket
+    got = neardedup.near_groups(_of_one_passage(spark, 26, 19), n_rows=1).collect()
+    assert len(got) == 600 and all(g.class_id == g.doc_id // 2 * 2 and g.class_size == 2 for g in got)
+
+
 def test_signature_collision_rate():
     r = np.random.default_rng(1)
     a, b = r.integers(1, 6, 200), r.integers(1, 6, 200)
