@@ -194,3 +194,11 @@ def test_language(spark):
     test = spark.createDataFrame([(1, "the dog"), (2, "die katze"), (3, None), (4, "12 !!"), (5, "the cat and the dog the cat and the dog der hund und die katze der hund und die katze")], "doc_id long, text string")
     got = {r.doc_id: r for r in langid.with_language(test, m).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["en", "de", "und", "und"] and set(got[5].languages) == {"en", "de"}
+
+
+def test_personal_data_far_from_the_base_form():
+    again = "or 123-4567 word " * 20
+    for text in ("+1 (555) 123-4567 word " + again, again + "+1 (555) 123-4567", again + "+1 (555) 123-4567 word " + again):
+        base, more = pii.find(text, pii.fitted())
+        assert len(base["phone"]) == 1 and [text[s:e] for _, s, e in more] == ["123-4567"] * text.count("or 123-4567")
+    assert not pii.find(again, pii.fitted())[1]
