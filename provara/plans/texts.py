@@ -224,5 +224,5 @@ def _literal(spark: SparkSession, d: str) -> DataFrame:
 
 @query("K04_fuzzy_terms")
 def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    terms = _docs(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
-    return matching.fuzzy(terms, forms(spark, d).select("form").distinct())
+    chunks = _lines(spark, d).select("doc_id", F.col("line_no").alias("chunk_idx"), F.lower("line").alias("canonical"), text.tokens(F.col("line")).alias("tokens"))
+    return matching.near_hits(chunks, forms(spark, d))

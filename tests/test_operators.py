@@ -65,6 +65,14 @@ def test_fuzzy_equals_brute_force(spark):
     assert {(r.term, r.form) for r in got} == want and all(abs(r.similarity - brute_ratio(r.term, r.form)) < 1e-5 for r in got)
 
 
+def test_near_hits_take_bigrams_and_the_first_chunk(spark):
+    rows = [(1, 0, "no such thing"), (1, 1, "one data base here"), (1, 2, "a databse"), (2, 0, "databse"), (2, 1, "the database"), (3, 0, "databaes databse pyton"), (None, 0, "databse")]
+    chunks = spark.createDataFrame([(i, c, t, t.split()) for i, c, t in rows], "doc_id long, chunk_idx int, canonical string, tokens array<string>")
+    forms = spark.createDataFrame([("db", "database", 0), ("py", "python", 0)], "skill string, form string, seq int")
+    got = {(r.doc_id, r.skill, r.chunk_idx, r.form, r.term) for r in matching.near_hits(chunks, forms).collect()}
+    assert got == {(1, "db", 1, "database", "data base"), (3, "db", 0, "database", "databse"), (3, "py", 0, "python", "pyton"), (None, "db", 0, "database", "databse")}
+
+
 def test_literal_needs_edges_and_takes_first(spark):
     chunks = spark.createDataFrame([(1, 0, "javascript"), (1, 1, "uses java, sql"), (1, 2, "java")], "doc_id long, chunk_idx int, canonical string")
     forms = spark.createDataFrame([("java", "java", 0), ("db", "sql", 0), ("c", "c++", 0)], "skill string, form string, seq int")
