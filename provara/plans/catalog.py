@@ -197,6 +197,12 @@ def _bigrams(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
 
 
+@query("T06_all_bigrams", f"WITH {_TOKENS}, b AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS bigram FROM tok) SELECT bigram, count(*) AS n FROM b GROUP BY 1")
+def _all_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    t = _docs(spark, d).select(F.explode(text.bigrams(text.tokens(F.col("text")))).alias("bigram"))
+    return t.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("T02_alpha_ratio", r"SELECT doc_id, round(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / length(regexp_replace(text, '\s', '', 'g')) END, 6) AS ratio FROM documents")
 def _alpha(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.round(text.alpha_ratio(F.col("text")), 6).alias("ratio"))

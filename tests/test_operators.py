@@ -65,6 +65,12 @@ def test_fuzzy_equals_brute_force(spark):
     assert {(r.term, r.form) for r in got} == want and all(abs(r.similarity - brute_ratio(r.term, r.form)) < 1e-5 for r in got)
 
 
+def test_all_bigrams_keep_rare_ones(spark, tmp_path):
+    spark.createDataFrame([(1, "red green blue"), (2, "red green")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.bigram: r.n for r in catalog.QUERIES["T06_all_bigrams"](spark, str(tmp_path)).collect()}
+    assert got == {"red green": 2, "green blue": 1}
+
+
 def test_near_hits_take_bigrams_and_the_first_chunk(spark):
     rows = [(1, 0, "no such thing"), (1, 1, "one data base here"), (1, 2, "a databse"), (2, 0, "databse"), (2, 1, "the database"), (3, 0, "databaes databse pyton"), (None, 0, "databse")]
     chunks = spark.createDataFrame([(i, c, t, t.split()) for i, c, t in rows], "doc_id long, chunk_idx int, canonical string, tokens array<string>")
