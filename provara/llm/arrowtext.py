@@ -2,16 +2,26 @@
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``. All hashes
 depend only on a word's bytes, so any task of any run gives the same value.
+
+Where hashes stand for words (near dedup, substring dedup), each word has the two
+halves of its 128-bit XXH3, and runs of words join them pairwise by a mixing that
+is not linear, so no family of strings collides by its form. The rolling hashes
+modulo 2**64 only choose features of the regression models.
+
+Texts are taken in slices of bounded bytes, but a text is never cut: the arrays
+made from one take some twelve times its bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Text is taken in slices of about so many bytes, which bounds the arrays made from it.
 SLICE_BYTES = 1 << 18
@@ -48,12 +58,16 @@ class _Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
             self.n = max(n, 1 << 16)
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.n - 1, b, np.uint64), dtype=np.uint64)]) for b in (self.base, self.inverse))
+            self.up, self.down = (
+                np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.n - 1, b, np.uint64), dtype=np.uint64)])
+                for b in (self.base, self.inverse)
+            )
         return self.up[:n], self.down[:n]
 
 
-_BYTE, _BYTE2 = seeded(256, 1), seeded(256, 2)
-_POW, _POW2, _WPOW, _WPOW2 = (_Powers(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+_BYTE = seeded(256, 1)
+_POW = _Powers(0x9E3779B97F4A7C15)
+_JOIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass
@@ -66,6 +80,7 @@ class Slice:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # row r has the words first[r] : first[r + 1]
+    apart: np.ndarray  # the bytes that part words
 
     @property
     def n_words(self) -> np.ndarray:
@@ -75,13 +90,30 @@ class Slice:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows)), self.n_words)
 
+    @cached_property
+    def _halves(self) -> np.ndarray:
+        """word x 2: the halves of each word's XXH3, taken once for each distinct word."""
+        n = len(self.starts)
+        offsets = np.zeros(n + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=offsets[1:])
+        inner = self.data[~self.apart[self.data]]
+        words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(inner)])
+        coded = words.dictionary_encode()
+        digests = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+        return np.frombuffer(digests, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+
     def word_hashes(self, second: bool = False) -> np.ndarray:
-        table, powers = (_BYTE2, _POW2) if second else (_BYTE, _POW)
-        up, down = powers.upto(len(self.data) + 1)
+        """64 bits of each word's 128-bit hash, or the other 64."""
+        return np.ascontiguousarray(self._halves[:, int(second)])
+
+    def rolled_hashes(self) -> np.ndarray:
+        """A cheaper hash of each word, for features."""
+        up, down = _POW.upto(len(self.data) + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(table[self.data] * up[: len(self.data)], out=sums[1:])
-            return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+            np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=sums[1:])
+            length = (self.ends - self.starts).astype(np.uint64)
+            return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + length)
 
     def piece_hashes(self, head: int = 0, tail: int = 0) -> np.ndarray:
         """Hash of each word's first ``head`` or last ``tail`` bytes."""
@@ -120,8 +152,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES, letters: bool = False) ->
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        own = lowered(own) if letters else own
-        yield Slice(range(a, b), own, at, *_words(own, at, _NO_LETTER if letters else _SPACE))
+        own, apart = (lowered(own), _NO_LETTER) if letters else (own, _SPACE)
+        yield Slice(range(a, b), own, at, *_words(own, at, apart), apart)
         a = b
 
 
@@ -136,15 +168,24 @@ def _words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def window_hashes(words: np.ndarray, n: int, second: bool = False) -> np.ndarray:
-    """Hash of the n words from each position on, for positions 0 to len(words) - n."""
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a run of words from the hashes of its two parts."""
+    return mix((a << np.uint64(23) | a >> np.uint64(41)) * _JOIN + b)
+
+
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each position on, for positions 0 to len(words) - n: runs of 1, 2, 4, ... words are joined."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    up, down = (_WPOW2 if second else _WPOW).upto(len(words) + 1)
+    run, size, out, done = words, 1, None, 0
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=sums[1:])
-        return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1] + np.uint64(n))
+        while True:
+            if n & size:
+                m = len(words) - done - size + 1
+                out, done = (run if out is None else _both(out[:m], run[done : done + m])), done + size
+            if size * 2 > n:
+                return out
+            run, size = _both(run[:-size], run[size:]), size * 2
 
 
 def within(first: np.ndarray, n: int) -> np.ndarray:

@@ -1,21 +1,28 @@
 """Exact dedup with counting quotient filters.
 
-Each task folds the 64-bit fingerprints of its rows into a counting quotient
-filter: a fingerprint's high bits (quotient) choose the range, the sorted low
-bits (remainders) and their counts are kept. Filters of one range merge without
-loss, by merging sorted remainders and adding counts. Fingerprints whose count
-is above one route their rows to byte verification against the first row of
-their group; all other rows are unique and never shuffled.
+Each task folds the 64-bit fingerprints of its rows into counting quotient
+filters, one for each range of fingerprints (their top bits). Within a range the
+next bits are the quotient, which is not stored but told by the slot: a bitmap
+marks the quotients in use and another the slot in which each one's run of
+remainders ends; remainders stand in whole bytes, and counts above one in
+counters of their own beside a bitmap of the slots that have them. Filters of one
+range merge without loss: their runs are read back in order, merged by sorted
+remainders, and counts are added. Fingerprints whose count is above one route
+their rows to byte verification against the first row of their group; all other
+rows are unique and never shuffled.
 
 Two texts are equal when identical after every character of [\\x20\\x09-\\x0D] is
 deleted; null counts as empty. Of equal texts the row with most code points,
 then smallest doc_id stays (null doc_id last). Of repeated rows alike in both,
-one stays and the others are dropped. An empty table gives no rows.
+one stays and the others are dropped. A text is never cut: a task needs some
+four times the bytes of its longest text. Columns of docs besides doc_id and text
+are not looked at and may have any name. An empty table gives no rows.
 
 A hot group is dealt over as many salted tasks as its filter count asks for,
 each with its own copy of the one text compared against, and is summed up
 before it is shuffled. Fingerprints to look up are broadcast only while they
-number at most shared.BROADCAST_ROWS; beyond that the lookup is a shuffled join.
+number at most shared.BROADCAST_ROWS; beyond that the lookup is a shuffled join
+that deals hot fingerprints over several tasks too.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ from provara.llm import shared
 _DELETE = shared.SPACES.encode()
 #: Rows of a hot group that are compared in one task.
 SALT_ROWS = 2000
+#: Fingerprints that a task holds before it emits its filters.
+UNIT = 1 << 20
 
 
 def bare(text: str | None) -> bytes:
@@ -44,34 +53,86 @@ def fingerprint(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _flags(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n, bitorder="little").view(bool)
+
+
 class CountingQuotientFilter:
-    """Sorted fingerprints with counts; the top ``bits`` are the quotient by which it splits into ranges."""
+    """A multiset of fingerprints that have their top ``bits`` in common.
+
+    slots: number of distinct fingerprints; q: bits of the quotient, so that there are about as many quotients
+    as slots. occupied: bitmap over quotients; run_end, repeated: bitmaps over slots; remainders: slots x bytes;
+    counters: the counts above one, in slot order.
+    """
 
-    def __init__(self, fingerprints: np.ndarray, counts: np.ndarray, bits: int):
-        self.fingerprints, self.counts, self.bits = fingerprints, counts, bits
+    def __init__(self, top: int, bits: int, slots: int, occupied: bytes, run_end: bytes, remainders: bytes, repeated: bytes, counters: bytes):
+        self.top, self.bits, self.slots = top, bits, slots
+        self.occupied, self.run_end, self.remainders = occupied, run_end, remainders
+        self.repeated, self.counters = repeated, counters
+
+    @staticmethod
+    def _quotient_bits(slots: int, bits: int) -> int:
+        return min(max(slots - 1, 1).bit_length(), 63 - bits)
 
     @classmethod
-    def of(cls, hashes: np.ndarray, bits: int) -> CountingQuotientFilter:
-        return cls(*np.unique(hashes, return_counts=True), bits)
-
-    def runs(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """quotient, sorted remainders and counts of each quotient in use."""
-        shift = np.uint64(64 - self.bits)
-        quotient = (self.fingerprints >> shift).astype(np.int64) if self.bits else np.zeros(len(self.fingerprints), np.int64)
-        remainder = self.fingerprints & np.uint64((1 << (64 - self.bits)) - 1)
-        used, first = np.unique(quotient, return_index=True)
-        for q, a, z in zip(used, first, [*first[1:], len(quotient)], strict=True):
-            yield int(q), remainder[a:z].tobytes(), self.counts[a:z].astype(np.int64).tobytes()
+    def of(cls, top: int, bits: int, fingerprints: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
+        """From sorted distinct fingerprints and their counts."""
+        n = len(fingerprints)
+        q = cls._quotient_bits(n, bits)
+        low = fingerprints & np.uint64((1 << (64 - bits)) - 1)
+        quotient = (low >> np.uint64(64 - bits - q)).astype(np.int64)
+        occupied = np.zeros(1 << q, bool)
+        occupied[quotient] = True
+        run_end = np.ones(n, bool)
+        run_end[:-1] = quotient[1:] != quotient[:-1]
+        width = -(-(64 - bits - q) // 8)
+        remainder = low & np.uint64((1 << (64 - bits - q)) - 1)
+        bytes_ = np.ascontiguousarray(remainder.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width])
+        repeated = counts > 1
+        held = counts[repeated].astype(np.int64).tobytes()
+        return cls(top, bits, n, _bits(occupied), _bits(run_end), bytes_.tobytes(), _bits(repeated), held)
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted fingerprints and counts."""
+        n, q = self.slots, self._quotient_bits(self.slots, self.bits)
+        width = -(-(64 - self.bits - q) // 8)
+        used = np.flatnonzero(_flags(self.occupied, 1 << q)).astype(np.uint64)
+        ends = _flags(self.run_end, n)
+        run = np.cumsum(ends) - ends
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(self.remainders, np.uint8).reshape(n, width)
+        fingerprints = used[run] << np.uint64(64 - self.bits - q) | wide.view("<u8").ravel()
+        if self.bits:
+            fingerprints |= np.uint64(self.top << (64 - self.bits))
+        counts = np.ones(n, np.int64)
+        counts[_flags(self.repeated, n)] = np.frombuffer(self.counters, np.int64)
+        return fingerprints, counts
 
     @classmethod
-    def merged(cls, quotient: int, runs: list[tuple[bytes, bytes]], bits: int) -> CountingQuotientFilter:
-        remainders = np.concatenate([np.frombuffer(r, np.uint64) for r, _ in runs])
-        counts = np.concatenate([np.frombuffer(c, np.int64) for _, c in runs])
-        order = np.argsort(remainders, kind="stable")
-        remainders, counts = remainders[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], remainders[1:] != remainders[:-1]]))
-        top = np.uint64(quotient << (64 - bits)) if bits else np.uint64(0)
-        return cls(remainders[first] | top, np.add.reduceat(counts, first), bits)
+    def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """One filter of all the fingerprints of filters of one range."""
+        parts = [f.items() for f in filters]
+        fingerprints, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.argsort(fingerprints, kind="stable")
+        fingerprints, counts = fingerprints[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], fingerprints[1:] != fingerprints[:-1]]))
+        return cls.of(filters[0].top, filters[0].bits, fingerprints[first], np.add.reduceat(counts, first))
+
+
+def filters_of(hashes: np.ndarray, bits: int) -> Iterator[CountingQuotientFilter]:
+    """A filter for each range that the fingerprints fall in."""
+    fingerprints, counts = np.unique(hashes, return_counts=True)
+    top = (fingerprints >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fingerprints), np.int64)
+    used, first = np.unique(top, return_index=True)
+    for t, a, z in zip(used, first, [*first[1:], len(top)], strict=True):
+        yield CountingQuotientFilter.of(int(t), bits, fingerprints[a:z], counts[a:z])
+
+
+_PARTS = ("occupied", "run_end", "remainders", "repeated", "counters")
 
 
 def repeated_fingerprints(docs: DataFrame) -> DataFrame:
@@ -82,23 +143,27 @@ def repeated_fingerprints(docs: DataFrame) -> DataFrame:
         hashes: list[int] = []
 
         def emitted() -> pa.RecordBatch:
-            runs = list(CountingQuotientFilter.of(np.array(hashes, np.uint64), bits).runs())
+            found = list(filters_of(np.array(hashes, np.uint64), bits))
             hashes.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.binary()), pa.array([r[2] for r in runs], pa.binary())], ["quotient", "remainders", "counts"])
+            numbers = [pa.array([f.top for f in found], pa.int64()), pa.array([f.slots for f in found], pa.int64())]
+            parts = [pa.array([getattr(f, p) for f in found], pa.binary()) for p in _PARTS]
+            return pa.RecordBatch.from_arrays(numbers + parts, ["top", "slots", *_PARTS])
 
         for b in batches:
             hashes += [fingerprint(bare(t.as_py())) for t in b.column("text")]
-            if len(hashes) >= 1 << 20:
+            if len(hashes) >= UNIT:
                 yield emitted()
         if hashes:
             yield emitted()
 
     def merge(group: pa.Table) -> pa.Table:
-        f = CountingQuotientFilter.merged(group.column("quotient")[0].as_py(), list(zip(group.column("remainders").to_pylist(), group.column("counts").to_pylist(), strict=True)), bits)
-        many = f.counts > 1
-        return pa.table({"fp": pa.array(f.fingerprints[many].view(np.int64)), "n": pa.array(f.counts[many])})
+        filters = [CountingQuotientFilter(bits=bits, **r) for r in group.to_pylist()]
+        fingerprints, counts = CountingQuotientFilter.merged(filters).items()
+        many = counts > 1
+        return pa.table({"fp": pa.array(fingerprints[many].view(np.int64)), "n": pa.array(counts[many])})
 
-    return docs.select("text").mapInArrow(build, "quotient long, remainders binary, counts binary").groupBy("quotient").applyInArrow(merge, "fp long, n long")
+    schema = "top long, slots long, " + ", ".join(f"{p} binary" for p in _PARTS)
+    return docs.select("text").mapInArrow(build, schema).groupBy("top").applyInArrow(merge, "fp long, n long")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -108,30 +173,59 @@ def _measured(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             bytes_ = [bare(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(np.array([fingerprint(x) for x in bytes_], np.uint64).view(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in bytes_], pa.string()), pa.array(bytes_, pa.binary())], ["doc_id", "key", "n_cp", "fp", "text_sha256", "bare"])
+            made = {
+                "n_cp": pa.array([len(t or "") for t in texts], pa.int64()),
+                "fp": pa.array(np.array([fingerprint(x) for x in bytes_], np.uint64).view(np.int64)),
+                "text_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bytes_], pa.string()),
+                "bare": pa.array(bytes_, pa.binary()),
+            }
+            own = ["doc_id", *shared.KEY]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *made.values()], [*own, *made])
 
-    return shared.row_key(docs).mapInArrow(run, "doc_id long, key long, n_cp long, fp long, text_sha256 string, bare binary")
+    schema = "doc_id long, key long, key2 long, n_cp long, fp long, text_sha256 string, bare binary"
+    return docs.select("doc_id", "text", *shared.row_key()).mapInArrow(run, schema)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and key (of the row, by doc_id and text), one row for each row of docs."""
-    found = shared.written(repeated_fingerprints(docs)).select(F.col("fp").alias("hot_fp"), "n")
-    looked = shared.hinted(found)
-    rows = _measured(docs)
-    alone = rows.join(looked, F.col("fp") == F.col("hot_fp"), "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "key")
+    """doc_id, keep_id, group_size, kept, text_sha256, key and key2 (of the row, by doc_id and text), one row for each row of docs."""
+    key, written = list(shared.KEY), shared.written
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / SALT_ROWS)).cast("int")
-    # rid tells repeated rows apart; the table is written, so it is the same wherever it is read
-    many = shared.written(rows.join(looked, F.col("fp") == F.col("hot_fp")).withColumn("rid", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int")).drop("hot_fp"))
-    first = many.groupBy("fp").agg(F.min("rid").alias("first_rid"))
-    heads = many.join(first.select(F.col("first_rid")), F.col("rid") == F.col("first_rid"), "left_semi").select(F.col("fp").alias("head_fp"), F.col("bare").alias("head"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("head_salt"))
-    # a text unlike its group's first (two texts of one fingerprint) is told apart by its digest
-    verified = many.join(heads, (F.col("fp") == F.col("head_fp")) & (F.col("salt") == F.col("head_salt"))).select("doc_id", "key", "n_cp", "rid", "fp", "n", "salt", "text_sha256", F.when(F.col("bare") == F.col("head"), F.lit("")).otherwise(F.col("text_sha256")).alias("variant"))
-    best = verified.groupBy(F.col("fp").alias("b_fp"), F.col("variant").alias("b_variant")).agg(F.min(F.struct(-F.col("n_cp"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "rid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("group_size"), F.first("n").alias("n"))
-    best = best.withColumn("b_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
-    dealt = verified.join(best, (F.col("fp") == F.col("b_fp")) & (F.col("salt") == F.col("b_salt")) & (F.col("variant") == F.col("b_variant")))
-    return alone.unionByName(dealt.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", "key"))
+    every = F.explode(F.sequence(F.lit(0), salts - 1))
+    with shared.Scratch(docs.sparkSession) as tables:
+        found = tables.keep(repeated_fingerprints(docs))
+        rows = _measured(docs)
+        if shared.few(found):
+            looked = F.broadcast(found)
+            alone, met = rows.join(looked.select("fp"), "fp", "left_anti"), rows.join(looked, "fp")
+        else:
+            alone = shared.dealt(rows, found.select("fp"), ["fp"], found, "left_anti")
+            met = shared.dealt(rows, found, ["fp"], found)
+        # rid tells repeated rows apart; the table is written, so it is the same wherever it is read
+        many = met.withColumn("rid", F.monotonically_increasing_id())
+        many = written(many.withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int")))
+        first = many.groupBy("fp").agg(F.min("rid").alias("rid")).select("rid")
+        heads = many.join(first, "rid", "left_semi")
+        heads = heads.select("fp", F.col("bare").alias("head"), every.alias("salt"))
+        # a text unlike its group's first (two texts of one fingerprint) is told apart by its digest
+        variant = F.when(F.col("bare") == F.col("head"), F.lit("")).otherwise(F.col("text_sha256"))
+        verified = many.join(heads, ["fp", "salt"])
+        verified = tables.keep(verified.select("doc_id", *key, "n_cp", "rid", "fp", "n", "salt", "text_sha256", variant.alias("variant")))
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    best = verified.groupBy("fp", "variant").agg(
+        F.min(F.struct(-F.col("n_cp"), last, F.isnull("doc_id"), "rid", "doc_id")).alias("best"),
+        F.count(F.lit(1)).alias("group_size"),
+        F.first("n").alias("n"),
+    )
+    best = best.withColumn("salt", every).drop("n")
+    dealt = verified.drop("n").join(best, ["fp", "salt", "variant"])
+    out = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", *key)
+    dealt = dealt.withColumns({"keep_id": F.col("best.doc_id"), "kept": F.col("rid") == F.col("best.rid")})
+    one = {"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
+    return alone.withColumns(one).select(*out).unionByName(dealt.select(*out))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay; columns as in docs."""
-    return shared.only_kept(docs, shared.written(exact_groups(docs).select("key", "kept")))
+    with shared.Scratch(docs.sparkSession) as tables:
+        told = tables.keep(exact_groups(docs).select(*shared.KEY, "kept"))
+    return shared.only_kept(docs, told)

@@ -13,8 +13,16 @@ less 0.5 * languages * log(words), and the set of the best value is selected.
 The prediction is the selected language of largest proportion; on ties the
 first by code point.
 
+Each expectation-maximisation runs until no proportion moves by SETTLED, at most
+ROUNDS rounds. How far the likelihood reached may be below the greatest one is
+bounded (the likelihood is concave in the proportions), and with that bound sets
+of languages are ruled out.
+
 Null texts and texts without a letter are ``und`` with score 0. With no
-training document every text is ``und``.
+training document every text is ``und``. Repeated rows give equal results, and an
+empty table no rows. Texts are taken in slices, but one text is never cut: a task
+needs some forty times the bytes of its longest text. Columns of docs besides
+those replaced stay as they are.
 """
 
 from __future__ import annotations
@@ -31,10 +39,17 @@ from pyspark.sql import functions as F
 from provara.llm.arrowtext import _NO_LETTER, SLICE_BYTES, Slice, seeded, slices
 
 BITS, BLOCK = 16, 1024
+#: Rounds of expectation-maximisation at most, and the change of a proportion at which it ends.
+ROUNDS, SETTLED = 200, 1e-4
 _A, _B, _C = seeded(256, 11), seeded(256, 12), seeded(256, 13)
+# digits of other kinds (superscripts, fractions) match too
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def grams(s: Slice) -> np.ndarray:
     """Bucket of the trigram around each letter byte, in order."""
     mask = ~_NO_LETTER[s.data]
@@ -58,7 +73,7 @@ class LanguageModel:
         total = np.add.reduceat(per_gram, np.cumsum(lengths) - lengths, axis=0)
         return np.maximum(np.exp(total - total.max(axis=1, keepdims=True)), 1e-9)
 
-    def infer(self, texts: pa.Array, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def infer(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Proportions over all languages, those over the selected ones (0 elsewhere) and the words, by row."""
         n, k = len(texts), max(1, len(self.languages))
         full, chosen, words = np.zeros((n, k)), np.zeros((n, k)), np.zeros(n, np.int64)
@@ -69,26 +84,47 @@ class LanguageModel:
             if not len(with_words):
                 continue
             p, n_words = self.word_likelihoods(s), s.n_words[with_words]
-            pi, ll = mixture(p, n_words, np.ones((len(n_words), k)), rounds)
-            best, best_value = select(p, n_words, pi, ll, rounds)
+            pi, ll, gap = mixture(p, n_words, np.ones((len(n_words), k)))
+            best, _ = select(p, n_words, pi, ll, gap)
             at = s.rows.start + with_words
             full[at], chosen[at], words[at] = pi, best, n_words
         return full, chosen, words
 
 
-def mixture(p: np.ndarray, n_words: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM for each document at once. allowed: document x language, 1 where a language may take part."""
-    first = np.cumsum(n_words) - n_words
-    pi = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(rounds):
-        r = p * np.repeat(pi, n_words, axis=0)
-        r /= r.sum(axis=1, keepdims=True)
-        pi = np.add.reduceat(r, first, axis=0) / n_words[:, None]
-    return pi, np.add.reduceat(np.log((p * np.repeat(pi, n_words, axis=0)).sum(axis=1)), first)
-
-
-def select(p: np.ndarray, n_words: np.ndarray, pi: np.ndarray, ll: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the set of best penalised likelihood. Sets of two or more are only tried where the likelihood of all languages, which bounds theirs, could still win."""
+def mixture(p: np.ndarray, n_words: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM for each document at once: proportions, log-likelihood, and by how much more the greatest one may exceed it.
+
+    allowed: document x language, 1 where a language may take part.
+    """
+    out = allowed / allowed.sum(axis=1, keepdims=True)
+    ll, gap = np.zeros(len(n_words)), np.zeros(len(n_words))
+    open_ = np.arange(len(n_words))
+    for i in range(ROUNDS + 1):
+        pi, n = out[open_], n_words[open_]
+        first = np.cumsum(n) - n
+        mixed = np.einsum("wk,wk->w", p, np.repeat(pi, n, axis=0))
+        pull = np.add.reduceat(p / mixed[:, None], first, axis=0) / n[:, None]
+        now = pi * pull
+        done = (np.abs(now - pi).max(axis=1) < SETTLED) | (i == ROUNDS)
+        at = open_[done]
+        ll[at] = np.add.reduceat(np.log(mixed), first)[done]
+        gap[at] = n[done] * np.maximum((pull * allowed[open_]).max(axis=1)[done] - 1, 0)
+        out[open_[~done]] = now[~done]
+        if done.all():
+            return out, ll, gap
+        if done.any():
+            p, open_ = p[np.repeat(~done, n)], open_[~done]
+    return out, ll, gap
+
+
+def select(
+    p: np.ndarray, n_words: np.ndarray, pi: np.ndarray, ll: np.ndarray, gap: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the set of best penalised likelihood.
+
+    Sets of two or more are only tried where the greatest likelihood of all languages, which bounds theirs, could
+    still win.
+    """
     n, k = pi.shape
     first = np.cumsum(n_words) - n_words
     single = np.add.reduceat(np.log(p), first, axis=0)
@@ -98,11 +134,13 @@ def select(p: np.ndarray, n_words: np.ndarray, pi: np.ndarray, ll: np.ndarray, r
     order = np.argsort(-pi, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     for m in range(2, k + 1):
-        open_ = np.flatnonzero(ll - m * cost > value)
+        open_ = np.flatnonzero(ll + gap - m * cost > value)
         if not len(open_):
             break
-        words = np.repeat(np.isin(np.arange(n), open_), n_words)
-        now, now_ll = mixture(p[words], n_words[open_], (rank[open_] < m).astype(float), rounds) if m < k else (pi[open_], ll[open_])
+        now, now_ll = pi[open_], ll[open_]
+        if m < k:
+            words = np.repeat(np.isin(np.arange(n), open_), n_words)
+            now, now_ll, _ = mixture(p[words], n_words[open_], (rank[open_] < m).astype(float))
         better = now_ll - m * cost[open_] > value[open_]
         best[open_[better]], value[open_[better]] = now[better], (now_ll - m * cost[open_])[better]
     return best, value
@@ -152,7 +190,7 @@ def detect(model: LanguageModel, text: Column) -> Column:
             full, chosen, words = model.infer(texts)
             lang, score, sets = [], [], []
             for i, t in enumerate(texts.to_pylist()):
-                if not words[i] or not t or not _LETTER.search(t):
+                if not words[i] or not t or not has_letter(t):
                     lang.append("und"), score.append(0.0), sets.append([])
                     continue
                 k = int(chosen[i].argmax())

@@ -9,17 +9,23 @@ part is taken by all; the fractional part is rounded dependently: two rows pass
 words between them, in a random direction that keeps both expectations, until
 one fraction is 0 or 1. Rows meet in groups of about ``FAN``; what each group
 leaves over meets again, level by level, in a reduction tree, so a source's
-words stay on target but for its last row. Random numbers are hashes of the
+words stay within one row's words of its target. Random numbers are hashes of the
 rows, so reruns agree.
 
-Repeated rows (doc_id, source and text alike) are one unit and take equally
-many copies. Null texts and texts without words have size 0 and take 0 words.
-A null source is a source of its own. An empty table gives no rows.
+Repeated rows (doc_id, source and text alike) are one unit: of n rows with
+fraction p, floor(n p) take one more copy, and what is left over is rounded with
+the other units as one row's fraction. Null texts and texts without words have
+size 0 and take 0 words. A null source is a source of its own, and a null doc_id
+unlike any other. Rows of one size are ordered by their hash. Texts are counted by
+a pattern, so a long one needs no more than its bytes. In mixed() columns of docs
+travel as one struct, so none of their names can clash. An empty table gives no rows.
+
+The windows of targets() run over one row for each source, in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,9 +40,18 @@ def words(text: str = "text"):
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(shared.WORD)).cast("long")
 
 
+def _unit_key() -> list[Column]:
+    about = [F.isnull("source"), "source", F.isnull("doc_id"), "doc_id"]
+    return [
+        F.xxhash64(*about, shared.body()).alias("key"),
+        F.xxhash64(F.lit("second"), shared.body(), *about).alias("key2"),
+    ]
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """source, doc_id, key (hash of the text), size and n_rows of each unit."""
-    return docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words().alias("size")).groupBy("source", "doc_id", "key", "size").agg(F.count(F.lit(1)).alias("n_rows"))
+    """source, doc_id, key and key2 (128 bits of source, doc_id and text), size and n_rows of each unit."""
+    rows = docs.select("doc_id", "source", *_unit_key(), words().alias("size"))
+    return rows.groupBy("source", "doc_id", *shared.KEY, "size").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def targets(parts: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -56,19 +71,22 @@ def targets(parts: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.withColumn("chosen", chosen).select("source", "source_size", "n_units", F.least("cap", F.coalesce(F.col("chosen.level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-_ITEM = "struct<doc_id: bigint, key: bigint, size: double, n_rows: bigint, p: double>"
+_ITEM = (
+    "struct<unit: struct<doc_id: bigint, key: bigint, key2: bigint, n_rows: bigint, extra: bigint>,"
+    " size: double, p: double>"
+)
 _ROOM = "(1 - a.c.p) * a.c.size"  # what the carried row can still take in
 _HELD = "a.c.p * a.c.size"  # and give away
 _X_HELD, _X_ROOM = "x.p * x.size", "(1 - x.p) * x.size"
 
 
 def _with_p(item: str, p: str) -> str:
-    return f"named_struct('doc_id', {item}.doc_id, 'key', {item}.key, 'size', {item}.size, 'n_rows', {item}.n_rows, 'p', {p})"
+    return f"named_struct('unit', {item}.unit, 'size', {item}.size, 'p', {p})"
 
 
 def _pivot(level: int) -> str:
     """SQL that folds an array of items into one in which at most one fraction is left."""
-    chance = f"(shiftrightunsigned(xxhash64(a.c.doc_id, a.c.key, x.doc_id, x.key, {level}), 11) / 9007199254740992D)"
+    chance = f"(shiftrightunsigned(xxhash64(a.c.unit.key, x.unit.key, {level}), 11) / 9007199254740992D)"
     into = f"{chance} * (least({_ROOM}, {_X_HELD}) + least({_HELD}, {_X_ROOM})) < least({_HELD}, {_X_ROOM})"
     c = f"if({into}, if({_ROOM} <= {_X_HELD}, 1D, a.c.p + {_X_HELD} / a.c.size), if({_HELD} <= {_X_ROOM}, 0D, a.c.p - {_X_ROOM} / a.c.size))"
     x = f"if({into}, if({_X_HELD} <= {_ROOM}, 0D, x.p - {_ROOM} / x.size), if({_X_ROOM} <= {_HELD}, 1D, x.p + {_HELD} / x.size))"
@@ -80,35 +98,57 @@ def _pivot(level: int) -> str:
     return f"aggregate(slice(items, 2, size(items)), {start}, (a, x) -> if(a.c.p <= 0 or a.c.p >= 1, {nothing}, {step}), a -> array_append(a.done, a.c))"
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, doc_id, key, size, n_rows, source_size, target and copies (long), one row a unit."""
-    parts = shared.written(units(docs))
-    goals = shared.written(targets(parts, weights, share, most))
-    side = shared.hinted(goals.withColumnsRenamed({"source": "goal_source"}))
+def copies(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0
+) -> DataFrame:
+    """source, doc_id, key, key2, size, n_rows, source_size, target, copies and extra, one row a unit.
+
+    Each of the unit's n_rows rows is taken ``copies`` times, and ``extra`` of them once more.
+    """
+    with shared.Scratch(docs.sparkSession) as tables:
+        return _copies(tables, docs, weights, share, most)
+
+
+def _copies(tables: shared.Scratch, docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    parts = tables.keep(units(docs))
+    goals = tables.keep(targets(parts, weights, share, most))
+    side = shared.hinted(goals.withColumnRenamed("source", "goal_source"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(F.col("rate") + 1e-12)
-    rows = parts.join(side, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source").withColumn("rate", rate)
-    rows = rows.withColumn("whole", whole).withColumn("p", F.when((F.col("size") == 0) | (F.col("rate") - whole < 1e-12), 0.0).otherwise(F.col("rate") - whole))
-    out = ("source", "doc_id", "key", "size", "n_rows", "source_size", "target")
-    done = [rows.where("p = 0").select(*out, F.col("whole").cast("long").alias("copies"))]
+    rows = parts.join(side, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
+    rows = rows.withColumn("rate", rate).withColumn("whole", whole)
+    # what the unit's rows take beyond whole copies, in copies
+    mass = F.when(F.col("size") == 0, 0.0).otherwise(F.greatest(F.col("rate") - whole, F.lit(0.0)) * F.col("n_rows"))
+    rows = rows.withColumn("mass", mass).withColumn("extra", F.floor(F.col("mass") + 1e-12).cast("long"))
+    rows = rows.withColumn("p", F.col("mass") - F.col("extra"))
+    rows = rows.withColumn("p", F.when(F.col("p") < 1e-12, 0.0).otherwise(F.col("p")))
+    out = ("source", "doc_id", *shared.KEY, "size", "n_rows", "source_size", "target", "copies", "extra")
+    done = [rows.where("p = 0").withColumn("copies", F.col("whole").cast("long")).select(*out)]
     about = ("source", "source_size", "target", "whole")
-    left = rows.where("p > 0").select(*about, "doc_id", "key", F.col("size").cast("double").alias("size"), "n_rows", "p", F.ceil(F.col("n_units") / FAN).cast("long").alias("groups"))
+    item = F.struct(
+        F.struct("doc_id", *shared.KEY, "n_rows", "extra").alias("unit"), F.col("size").cast("double").alias("size"), "p"
+    )
+    groups = F.ceil(F.col("n_units") / FAN).cast("long")
+    left = rows.where("p > 0").select(*about, groups.alias("groups"), item.cast(_ITEM).alias("i"))
     most_units = goals.agg(F.max("n_units")).first()[0] or 0
     level = 0
     while most_units > 0:
         final = most_units <= FAN
-        group = F.pmod(F.xxhash64("doc_id", "key", F.lit(level)), F.greatest(F.col("groups"), F.lit(1)))
-        # units weigh their rows together, so that words passed between them count in full
-        item = F.struct((-F.col("size") * F.col("n_rows")).alias("o"), F.xxhash64("doc_id", "key", F.lit(~level)).alias("h"), F.struct("doc_id", "key", (F.col("size") * F.col("n_rows")).alias("size"), "n_rows", "p").alias("item"))
-        met = left.groupBy(*about, "groups", group.alias("group")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i.item.cast(_ITEM)).alias("items"))
-        folded = shared.written(met.select(*about, "groups", F.explode(F.expr(_pivot(level))).alias("i")).select(*about, "groups", "i.doc_id", "i.key", (F.col("i.size") / F.col("i.n_rows")).alias("size"), "i.n_rows", "i.p"))
-        settled = folded if final else folded.where("p <= 0 or p >= 1")
-        chance = F.shiftrightunsigned(F.xxhash64("doc_id", "key", F.lit("last")), 11) / F.lit(float(1 << 53))
-        taken = F.col("whole") + F.when(F.col("p") >= 1, 1).when(F.col("p") <= 0, 0).otherwise((chance < F.col("p")).cast("int"))
-        done.append(settled.select("source", "doc_id", "key", F.round("size").cast("long").alias("size"), "n_rows", "source_size", "target", taken.cast("long").alias("copies")))
+        group = F.pmod(F.xxhash64("i.unit.key", F.lit(level)), F.greatest(F.col("groups"), F.lit(1)))
+        ordered = F.struct((-F.col("i.size")).alias("o"), F.xxhash64("i.unit.key", F.lit(~level)).alias("h"), "i")
+        items = F.transform(F.sort_array(F.collect_list(ordered)), lambda x: x.i)
+        met = left.groupBy(*about, "groups", group.alias("group")).agg(items.alias("items"))
+        folded = tables.keep(met.select(*about, "groups", F.explode(F.expr(_pivot(level))).alias("i")))
+        settled = folded if final else folded.where("i.p <= 0 or i.p >= 1")
+        chance = F.shiftrightunsigned(F.xxhash64("i.unit.key", F.lit("last")), 11) / F.lit(float(1 << 53))
+        p = F.col("i.p")
+        one_more = F.when(p >= 1, 1).when(p <= 0, 0).otherwise((chance < p).cast("int"))
+        told = settled.select(*about, "i.unit.*", F.round("i.size").cast("long").alias("size"), one_more.alias("more"))
+        told = told.withColumn("extra", F.col("extra") + F.col("more"))
+        done.append(told.withColumn("copies", F.col("whole").cast("long")).select(*out))
         if final:
             break
-        left = folded.where("p > 0 and p < 1").withColumn("groups", F.ceil(F.col("groups") / FAN))
+        left = folded.where("i.p > 0 and i.p < 1").withColumn("groups", F.ceil(F.col("groups") / FAN))
         most_units = -(-most_units // FAN)
         level += 1
     result = done[0]
@@ -117,9 +157,37 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
     return result
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mixed(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0
+) -> DataFrame:
     """The rows of docs, each as often as its copies say; columns as in docs."""
-    many = copies(docs, weights, share, most).where("copies > 0").select(F.col("source").alias("m_source"), F.col("doc_id").alias("m_doc_id"), F.col("key").alias("m_key"), "copies")
-    same = F.col("source").eqNullSafe(F.col("m_source")) & F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("m_key"))
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    return docs.alias("d").join(many, same).withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    key = list(shared.KEY)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_unit_key())
+    with shared.Scratch(docs.sparkSession) as tables:
+        many = tables.keep(copies(docs, weights, share, most).select(*key, F.col("n_rows").alias("n"), "copies", "extra"))
+        met = shared.dealt(rows, many.where("copies > 0 or extra > 0"), key, many)
+        alike = (F.col("extra") == 0) | (F.col("extra") == F.col("n"))
+        settled = met.where(alike).withColumn("times", F.col("copies") + (F.col("extra") > 0).cast("int"))
+        settled = settled.select("row", "times")
+        parted = many.where(~alike)
+        if parted.limit(1).count():
+            settled = settled.unionByName(tables.keep(_parted(met.where(~alike)).select("row", "times")))
+    return shared.repeated(settled, "times").select("row.*")
+
+
+def _parted(met: DataFrame) -> DataFrame:
+    """Of each unit's n rows, ``extra`` with times = copies + 1 and the others with copies.
+
+    Rows are numbered within parts of SALT_ROWS rows or so, and each part is told how many of its rows take one more.
+    """
+    key = list(shared.KEY)
+    rows = shared.written(met.withColumn("rid", F.monotonically_increasing_id()))
+    part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / shared.SALT_ROWS)).cast("int")
+    rows = rows.withColumn("part", part)
+    sizes = rows.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("held"), F.first("extra").alias("extra"))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("extra") - F.coalesce(F.sum("held").over(before), F.lit(0))
+    quota = sizes.select(*key, "part", F.greatest(F.least(room, F.col("held")), F.lit(0)).alias("quota"))
+    place = F.row_number().over(Window.partitionBy(*key, "part").orderBy("rid"))
+    told = rows.withColumn("place", place).join(quota, [*key, "part"])
+    return told.withColumn("times", F.col("copies") + (F.col("place") <= F.col("quota")).cast("int"))

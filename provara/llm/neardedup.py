@@ -10,20 +10,27 @@ keeps its least time. Two documents agree at a place with the probability of
 their weighted Jaccard similarity.
 
 28 bands of 5 places miss a pair at similarity 0.8 with probability 1.5e-5, and
-fewer above. Documents of equal words are one vertex. In each bucket all
-vertices are first compared with the least one. Buckets that then still hold
-several components are compared with further members picked by hash. What is
-still open is compared between components without a further miss: small buckets
-in full, the members of all larger ones by an exact join on the rarest shingles
-of each (prefix, length and position filter), which leaves out only pairs that
-cannot reach ``least``. Every comparison is exact, on the multisets of 64-bit
-shingle hashes. Classes are the
-components of pairs of similarity ``least`` or more; they are found by passing
-least labels on, with every round written to the shared folder.
+fewer above. Documents of equal words (128 bits of them) are one vertex. In each
+bucket all vertices are first compared with the least one. Buckets that then
+still hold several components are compared with further members picked by hash.
+What is still open is compared between components without a further miss: small
+buckets in full, the members of all larger ones by an exact join on the rarest
+shingles of each (prefix, length and position filter), which leaves out only
+pairs that cannot reach ``least``. Every comparison is of the whole multisets, of
+64-bit hashes of shingles. Classes are the components of pairs of similarity
+``least`` or more; they are found by passing least labels on, with every round
+written to the shared folder.
+
+Joins on bands, vertices and components deal keys of many rows over several
+tasks (shared.dealt), and groups are summed up before they are shuffled.
 
 Null texts count as empty; texts without words are equal to each other. Rows
 with null doc_id take part; class_id is the least doc_id of the class, null if
-it has none. An empty table gives no rows.
+it has none. Repeated rows are in one class, and all marked as kept if one is;
+near_deduplicated() leaves one. Ties are broken by doc_id, then by row key. A text
+is never cut, so a task needs some thirty times the bytes of its longest text.
+Columns of docs besides doc_id and text are not looked at and may have any name.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,27 +103,34 @@ def bands(sig: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return key
 
 
+def _distinct(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where each run of equal shingles of one row begins."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return np.flatnonzero(new)
+
+
 def _signed(size: int, n_bands: int, n_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column("text")):
                 n, words = len(s.rows), s.word_hashes()
                 row, value = shingles(s, words, size)
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-                at = np.flatnonzero(new)
-                keys = bands(signature(row[at], value[at], np.diff(np.append(at, len(row))), n, n_bands * n_rows), n_bands, n_rows)
-                ident = [_whole(s, w, second) for w, second in ((words, False), (s.word_hashes(second=True), True))]
-                rows_ = slice(s.rows.start, s.rows.stop)
+                at = _distinct(row, value)
+                weight = np.diff(np.append(at, len(row)))
+                keys = bands(signature(row[at], value[at], weight, n, n_bands * n_rows), n_bands, n_rows)
                 listed = [k.tolist() if w else [] for k, w in zip(keys.view(np.int64), s.n_words, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(rows_.start, n), b.column("key").slice(rows_.start, n), pa.array(ident[0].view(np.int64)), pa.array(ident[1].view(np.int64)), pa.array(listed, pa.list_(pa.int64()))], ["doc_id", "key", "v", "v2", "bands"])
+                own = [b.column(c).slice(s.rows.start, n) for c in ("doc_id", *shared.KEY)]
+                whole = [pa.array(_whole(s, w, i).view(np.int64)) for i, w in enumerate((words, s.word_hashes(True)))]
+                arrays = [*own, *whole, pa.array(listed, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *shared.KEY, "h1", "h2", "bands"])
 
     return run
 
 
-def _whole(s: Slice, words: np.ndarray, second: bool) -> np.ndarray:
+def _whole(s: Slice, words: np.ndarray, second: int) -> np.ndarray:
     """Hash of each row's words in order."""
-    seed = np.uint64(2 if second else 1)
+    seed = np.uint64(1 + second)
     place = np.arange(len(words)) - s.first[s.row_of_word]
     salted = mix(words ^ mix((place.astype(np.uint64) + seed) * _G))
     sums = np.zeros(len(words) + 1, np.uint64)
@@ -131,14 +145,14 @@ def _multisets(size: int):
         for b in batches:
             for s in slices(b.column("text")):
                 row, value = shingles(s, s.word_hashes(), size)
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-                first = np.flatnonzero(new)
+                first = _distinct(row, value)
                 nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
                 value = mix(value + nth.astype(np.uint64) * _G)
                 order = np.lexsort((value, row))
                 cut = np.searchsorted(row, np.arange(len(s.rows) + 1))
-                yield pa.RecordBatch.from_arrays([b.column("v").slice(s.rows.start, len(s.rows)), pa.array([value[order[a:z]].tobytes() for a, z in zip(cut, cut[1:], strict=False)], pa.binary())], ["v", "bag"])
+                held = [value[order[a:z]].tobytes() for a, z in zip(cut, cut[1:], strict=False)]
+                own = b.column("v").slice(s.rows.start, len(s.rows))
+                yield pa.RecordBatch.from_arrays([own, pa.array(held, pa.binary())], ["v", "bag"])
 
     return run
 
@@ -160,40 +174,63 @@ def _similar(least: float):
     return run
 
 
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    with_a = pairs.join(bags.select(F.col("v").alias("a"), F.col("bag").alias("bag_a")), "a")
-    return with_a.join(bags.select(F.col("v").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_similar(least), "a long, b long")
+    """Those of pairs (a, b; a written table) that are alike. A vertex of many pairs is dealt over several tasks."""
+    for x in ("a", "b"):
+        held = bags.select(F.col("v").alias(x), F.col("bag").alias(f"bag_{x}"))
+        pairs = shared.dealt(pairs, held, [x], _counted(pairs, x)) if x == "a" else pairs.join(held, x)
+    return pairs.select("a", "b", "bag_a", "bag_b").mapInArrow(_similar(least), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v and root, the least vertex of its component, for the vertices of links (a, b)."""
-    edges = shared.written(links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct())
+    """v and root, the least vertex of its component, for the vertices of links (a, b).
+
+    In each round a vertex takes the least label of its neighbours, and then the label of its label.
+    """
+    forth, back = (links.select(F.col(x).alias("v"), F.col(y).alias("w")) for x, y in ("ab", "ba"))
+    edges = shared.written(forth.unionByName(back).distinct())
+    degrees = shared.written(_counted(edges, "w"))
     labels = shared.written(edges.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("root")))
     while True:
-        passed = edges.join(labels.withColumnRenamed("v", "n").withColumnRenamed("root", "n_root"), F.col("w") == F.col("n")).groupBy("v").agg(F.min("n_root").alias("near"))
-        met = labels.join(passed, "v").select("v", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        ends = labels.select(F.col("v").alias("r"), F.col("root").alias("r_root"))
-        now = shared.written(met.join(ends, F.col("root") == F.col("r")).select("v", "was", F.least("root", "r_root").alias("root")))
-        changed = now.where("root != was").limit(1).count()
+        others = labels.select(F.col("v").alias("w"), F.col("root").alias("w_root"))
+        near = shared.dealt(edges, others, ["w"], degrees).groupBy("v").agg(F.min("w_root").alias("near"))
+        met = labels.join(near, "v").select("v", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        met = shared.written(met)
+        ends = labels.select(F.col("v").alias("root"), F.col("root").alias("r_root"))
+        now = shared.dealt(met, ends, ["root"], _counted(met, "root"))
+        now = shared.written(now.select("v", "was", F.least("root", "r_root").alias("root")))
         labels = now.select("v", "root")
-        if not changed:
+        if not now.where("root != was").limit(1).count():
             return labels
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """band, i, v, root and n (members) of the buckets whose members are of more than one component."""
-    placed = members.select("band", "i", "v").join(roots, "v", "left").select("band", "i", "v", F.coalesce("root", "v").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("band", "n")
-    return placed.join(mixed, "band")
+    placed = members.select("band", "i", "v").join(roots, "v", "left")
+    placed = shared.written(placed.select("band", "i", "v", F.coalesce("root", "v").alias("root")))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = shared.written(mixed.where("lo != hi").select("band", "n"))
+    return shared.dealt(placed, mixed, ["band"], mixed)
 
 
 def _hub_pairs(open_: DataFrame, t: int) -> DataFrame:
     """Pairs (a < b) of some members of each bucket, picked by hash, with its members of other components."""
-    picked = open_.groupBy("band").agg(*(F.min(F.struct(F.xxhash64("v", F.lit(t * HUBS + j)), "v", "root")).alias(f"h{j}") for j in range(HUBS)))
-    hubs = picked.select("band", F.array_distinct(F.array(*(F.struct(F.col(f"h{j}.v").alias("hub"), F.col(f"h{j}.root").alias("hub_root")) for j in range(HUBS)))).alias("hubs"))
+    places = range(t * HUBS, t * HUBS + HUBS)
+    picked = open_.groupBy("band").agg(
+        *(F.min(F.struct(F.xxhash64("v", F.lit(j)), "v", "root")).alias(f"h{j}") for j in places),
+        F.count(F.lit(1)).alias("n"),
+    )
+    hub = [F.struct(F.col(f"h{j}.v").alias("hub"), F.col(f"h{j}.root").alias("hub_root")) for j in places]
+    hubs = shared.written(picked.select("band", "n", F.array_distinct(F.array(*hub)).alias("hubs")))
     # a member meets much the same hubs in many buckets: they are gathered by member before pairs are made
-    met = open_.join(hubs, "band").select("v", F.expr("transform(filter(hubs, h -> h.hub_root != root), h -> h.hub)").alias("hubs")).where(F.size("hubs") > 0)
-    each = met.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs")).select("v", F.explode("hubs").alias("hub"))
+    met = shared.dealt(open_, hubs.drop("n"), ["band"], hubs)
+    met = met.select("v", F.expr("transform(filter(hubs, h -> h.hub_root != root), h -> h.hub)").alias("hubs"))
+    each = met.where(F.size("hubs") > 0).groupBy("v").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
+    each = each.select("v", F.explode("hubs").alias("hub"))
     return each.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
 
 
@@ -256,42 +293,82 @@ def _prefix_pairs(bags: DataFrame, least: float) -> DataFrame:
     return short.join(long_, on).select(F.least("s.v", "l.v").alias("a"), F.greatest("s.v", "l.v").alias("b"))
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, size: int = SHINGLE, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, class_size, kept and key (of the row, by doc_id and text), one row for each row of docs. The kept row has doc_id class_id; its repeated rows are marked too."""
-    rows = shared.row_key(docs)
-    sigs = shared.written(rows.mapInArrow(_signed(size, n_bands, n_rows), "doc_id long, key long, v long, v2 long, bands array<long>"))
-    vertices = shared.written(sigs.groupBy("v", "v2").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
-    buckets = vertices.select("v", "key", F.posexplode("bands").alias("i", "band"))
-    hubs = buckets.groupBy("band").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
-    members = shared.written(buckets.join(hubs, "band").select("band", "i", "v", "key", "hub"))
-    pairs = shared.written(members.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct())
-    needed = shared.written(members.groupBy("v").agg(F.min("key").alias("key")))
-    texts = rows.join(shared.hinted(needed), "key").groupBy("v").agg(F.first("text").alias("text"))
-    bags = shared.written(texts.mapInArrow(_multisets(size), "v long, bag binary"))
-    links = shared.written(_verified(pairs, bags, least))
+def _bags(rows: DataFrame, wanted: DataFrame, sigs: DataFrame, size: int) -> DataFrame:
+    """v and bag of the vertices wanted (v and the key of one of its rows; a written table)."""
+    key = list(shared.KEY)
+    if shared.few(wanted):
+        found = rows.join(F.broadcast(wanted), key)
+    else:
+        repeats = sigs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        found = shared.dealt(rows, wanted, key, repeats)
+    return found.groupBy("v").agg(F.first("text").alias("text")).mapInArrow(_multisets(size), "v long, bag binary")
+
+
+def _alike(members: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """root of each vertex that has a link: the components of all alike members of common buckets."""
+    written = shared.written
+    pairs = written(members.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct())
+    links = written(_verified(pairs, bags, least))
     roots = components(links)
     for t in range(HUB_ROUNDS):
-        more = shared.written(_verified(shared.written(_hub_pairs(_open(members, roots), t).join(pairs, ["a", "b"], "left_anti")), bags, least))
+        fresh = _hub_pairs(written(_open(members, roots)), t).join(pairs, ["a", "b"], "left_anti")
+        more = written(_verified(written(fresh), bags, least))
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
         roots = components(links)
-    open_ = shared.written(_open(members, roots))
-    left, right = (open_.where(F.col("n") <= SMALL).select("band", F.col("v").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    open_ = written(_open(members, roots))
+    small = open_.where(F.col("n") <= SMALL)
+    left, right = (small.select("band", F.col("v").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
     # within components nothing is left to find, so only pairs between two of them are made
     across = left.join(right, "band").where("a < b and root_a != root_b").select("a", "b")
-    wide = shared.written(open_.where(F.col("n") > SMALL).select("v", "root").distinct())
+    wide = written(open_.where(F.col("n") > SMALL).select("v", "root").distinct())
     if wide.limit(1).count():
-        across = across.unionByName(_prefix_pairs(shared.written(bags.join(shared.hinted(wide), "v")), least))
-    across = across.distinct().join(pairs, ["a", "b"], "left_anti")
-    more = shared.written(_verified(shared.written(across), bags, least))
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
-    told = sigs.select("doc_id", "key", "v").join(roots, "v", "left").select("doc_id", "key", F.coalesce("root", "v").alias("root"))
-    classes = told.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "key", "doc_id")).alias("best"), F.count(F.lit(1)).alias("class_size"))
-    return told.join(classes, "root").select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("key") == F.col("best.key")).alias("kept"), "key")
+        across = across.unionByName(_prefix_pairs(written(bags.join(shared.hinted(wide), "v")), least))
+    across = written(across.distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = written(_verified(across, bags, least))
+    return components(links.unionByName(more)) if more.limit(1).count() else roots
+
+
+def near_groups(
+    docs: DataFrame, least: float = 0.8, size: int = SHINGLE, n_bands: int = BANDS, n_rows: int = ROWS
+) -> DataFrame:
+    """doc_id, class_id, class_size, kept, key and key2 (of the row, by doc_id and text), one row for each row of docs.
+
+    The kept row has doc_id class_id; its repeated rows are marked too.
+    """
+    key, written = list(shared.KEY), shared.written
+    with shared.Scratch(docs.sparkSession) as tables:
+        rows = docs.select("doc_id", shared.body().alias("text"), *shared.row_key())
+        schema = "doc_id long, key long, key2 long, h1 long, h2 long, bands array<long>"
+        sigs = written(rows.mapInArrow(_signed(size, n_bands, n_rows), schema))
+        one = sigs.groupBy("h1", "h2").agg(
+            F.min(F.struct(*key)).alias("row"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")
+        )
+        vertices = written(one.select("h1", "h2", "row.*", "bands", "n", F.monotonically_increasing_id().alias("v")))
+        buckets = vertices.select("v", F.posexplode("bands").alias("i", "band"))
+        hubs = buckets.groupBy("band").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("n"))
+        hubs = written(hubs.where("n > 1"))
+        members = written(shared.dealt(buckets, hubs.select("band", "hub"), ["band"], hubs))
+        wanted = written(vertices.select("v", *key).join(members.select("v").distinct(), "v"))
+        bags = written(_bags(rows, wanted, sigs, size))
+        roots = _alike(members, bags, least)
+        rooted = vertices.join(roots, "v", "left").select("h1", "h2", F.coalesce("root", "v").alias("root"), "n")
+        rooted = written(rooted)
+        told = shared.dealt(sigs.drop("bands"), rooted.drop("n"), ["h1", "h2"], rooted)
+        told = tables.keep(told.select("doc_id", *key, "root"))
+        first = F.struct(F.isnull("doc_id").alias("none"), "doc_id", *key)
+        classes = told.groupBy("root").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("n"))
+        classes = tables.keep(classes)
+    kept = (F.col("key") == F.col("best.key")) & (F.col("key2") == F.col("best.key2"))
+    out = shared.dealt(told, classes, ["root"], classes)
+    return out.select(
+        "doc_id", F.col("best.doc_id").alias("class_id"), F.col("n").alias("class_size"), kept.alias("kept"), *key
+    )
 
 
 def near_deduplicated(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of docs of which one for each class stays; columns as in docs."""
-    return shared.only_kept(docs, shared.written(near_groups(docs, least).select("key", "kept")))
+    with shared.Scratch(docs.sparkSession) as tables:
+        told = tables.keep(near_groups(docs, least).select(*shared.KEY, "kept"))
+    return shared.only_kept(docs, told)

@@ -6,12 +6,16 @@ positive step. With two grades this is logistic regression.
 
 A feature is a hashed word, word start or word end; its value is
 log(1 + occurrences) / words ** 0.25 over the whole text. Fitting takes at most
-``max_rows`` rated rows (those with the least hash of doc_id); scoring reads
-every row. L1 shrinkage leaves few weights, so models are small.
+``max_rows`` rated rows (those with the least hash of doc_id), and of these the
+first whose features together have at most ``max_bytes``, since they go to the
+driver; scoring reads every row. L1 shrinkage leaves few weights, so models are small.
 
 Null and empty texts have no feature: they get the thresholds' own
-probabilities. Null grades are left out of fitting. With no rated row at all,
-or one grade only, the model gives every text that grade (or grade 0).
+probabilities. Null grades and doc_ids are left out of fitting; repeated rows and
+ratings each count. With no rated row at all, or one grade only, the model gives
+every text that grade (or grade 0). Rows of one hash of doc_id are taken by doc_id,
+then grade. A text is never cut: a task needs some forty times the bytes of its
+longest text. Of docs fitting reads doc_id and text only. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from provara.llm import shared
 from provara.llm.arrowtext import Slice, slices
 
 BITS = 18
@@ -46,7 +52,7 @@ class Features:
     def of(self, s: Slice, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, feature and value; only the wanted features, where they are given."""
         rows = s.row_of_word
-        kinds = [s.word_hashes(), s.piece_hashes(head=self.head), s.piece_hashes(tail=self.tail)]
+        kinds = [s.rolled_hashes(), s.piece_hashes(head=self.head), s.piece_hashes(tail=self.tail)]
         parts = []
         for i, hashes in enumerate(kinds):
             feature = ((hashes + np.uint64(i)) >> np.uint64(64 - BITS)).astype(np.int64)
@@ -94,22 +100,37 @@ def _dense(model: OrdinalModel) -> tuple[np.ndarray, np.ndarray]:
     return weights, weights != 0
 
 
-def fit(docs: DataFrame, ratings: DataFrame, features: Features, max_rows: int = 6000, l1: float = 3e-4, rounds: int = 150) -> OrdinalModel:
-    """ratings: doc_id and grade. Rows of repeated doc_ids each count."""
-    rated = ratings.select(F.col("doc_id").alias("rated_id"), F.col("grade").cast("int").alias("grade")).where("rated_id is not null and grade is not null")
+def fit(
+    docs: DataFrame, ratings: DataFrame, features: Features, max_rows: int = 6000, max_bytes: int = 64 << 20,
+    l1: float = 3e-4, rounds: int = 150,
+) -> OrdinalModel:
+    """ratings: doc_id and grade."""
+    rated = ratings.select(F.col("doc_id").alias("rated_id"), F.col("grade").cast("int").alias("grade"))
+    rated = rated.where("rated_id is not null and grade is not null")
     rated = rated.orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(max_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in features.slices(b.column("text")):
+                n = len(s.rows)
                 row, feature, value = features.of(s)
-                cut = np.searchsorted(row, np.arange(len(s.rows) + 1))
-                parts = [(feature[a:z].astype(np.int32).tobytes(), value[a:z].astype(np.float32).tobytes()) for a, z in zip(cut, cut[1:], strict=False)]
-                own = slice(s.rows.start, s.rows.stop)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(own.start, own.stop - own.start), b.column("grade").slice(own.start, own.stop - own.start), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["doc_id", "grade", "feature", "value"])
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("rated_id")).select("doc_id", "text", "grade")
-    rows = joined.mapInArrow(extract, "doc_id long, grade int, feature binary, value binary").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rows).collect()
+                cut = np.searchsorted(row, np.arange(n + 1))
+                runs = list(zip(cut, cut[1:], strict=False))
+                held = [
+                    pa.array([x[a:z].astype(t).tobytes() for a, z in runs], pa.binary())
+                    for x, t in ((feature, np.int32), (value, np.float32))
+                ]
+                own = [b.column(c).slice(s.rows.start, n) for c in ("doc_id", "grade")]
+                yield pa.RecordBatch.from_arrays([*own, *held], ["doc_id", "grade", "feature", "value"])
+
+    joined = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("rated_id"))
+    made = joined.select("doc_id", "text", "grade").mapInArrow(extract, "doc_id long, grade int, feature binary, value binary")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("grade"), F.col("feature")]
+    with shared.Scratch(docs.sparkSession):
+        taken = shared.written(made.orderBy(*order).limit(max_rows))
+        # at most max_rows rows are in this window
+        size = F.sum(F.octet_length("feature") + F.octet_length("value")).over(Window.orderBy(*order))
+        rows = taken.withColumn("size", size).where(F.col("size") <= max_bytes).drop("size").collect()
     rows.sort(key=lambda r: (r.doc_id, r.grade, bytes(r.feature)))
     ranked = sorted({r.grade for r in rows})
     if len(ranked) < 2:

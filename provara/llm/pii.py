@@ -22,7 +22,11 @@ passed until they settle (or 500 times, if they never do).
 Weights are fitted here once, by pseudo-likelihood on a fixed generated sample
 of labelled token lines, and travel with the task.
 
-Null texts count as empty and have no spans. Repeated rows give equal results.
+Null texts count as empty and have no spans. Repeated rows give equal results. An
+empty table gives no rows. Equally likely labels: the first of O, email, ip, card,
+phone. Of the row only the text is read, so other columns may have any name. A
+text is never cut: beside its bytes a task holds its candidate tokens, some 1 KB each.
+Entities written out in words are never found, as their tokens are no candidates.
 """
 
 from __future__ import annotations
@@ -80,7 +84,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             found["ip"].append(m.span())
     for m in _CARD.finditer(text):
         d = _digits(m[0])
@@ -123,7 +128,10 @@ def tokens(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[Token]:
             z = a + len(bare)
             while c < len(covers) and covers[c][1] <= a:
                 c += 1
-            base = next((lab for s, e, lab in covers[c : c + 8] if s < z and e > a), 0)
+            base, i = 0, c
+            while not base and i < len(covers) and covers[i][0] < z:
+                base = covers[i][2] if covers[i][1] > a else 0
+                i += 1
             out.append(Token(a, z, bare, position, base))
         position += 1
     return out

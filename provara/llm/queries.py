@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provara.llm import cws, exactdedup, langid, mixing, neardedup, packing, pii, quality, substrings, toxicity
+from provara.llm import cws, exactdedup, langid, mixing, neardedup, packing, pii, quality, shared, substrings, toxicity
 from provara.session import table
 
 
@@ -18,7 +18,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardedup.near_groups(table(spark, sf_dir, "documents")).drop("key")
+    return neardedup.near_groups(table(spark, sf_dir, "documents")).drop(*shared.KEY)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdedup.exact_groups(table(spark, sf_dir, "documents")).drop("key")
+    return exactdedup.exact_groups(table(spark, sf_dir, "documents")).drop(*shared.KEY)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    # a document without doc_id is never learnt from
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
     model = langid.fit_languages(docs.where("not held_out"))
     return langid.with_language(docs, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
@@ -47,8 +49,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(table(spark, sf_dir, "documents"))
-    each = found.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+    each = shared.repeated(found, "n_rows")
+    taken = F.col("size") * (F.col("copies") + (F.col("repeat") < F.col("extra")).cast("int"))
+    return each.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

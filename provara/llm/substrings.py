@@ -11,9 +11,15 @@ Before a shuffle each task counts what it holds itself, so a passage of any
 frequency is sent once a task; what a task has twice is known to repeat and
 only tells others. Ranges of hashes are merged as sorted arrays.
 
-Null texts have no words. Rows are told apart by a hash of doc_id and text;
-repeated rows repeat each other's windows, so all but short ones lose all words.
-Texts under ``window`` words lose none. An empty table gives no rows.
+A text that several rows have is searched once: all windows of such rows repeat,
+so they lose all words, unless they have fewer than ``window``. So no row key is
+hot. Texts are told apart by 128 bits, windows by two hashes of 64 bits over the
+128-bit hashes of their words; words are not compared again.
+
+Null texts have no words. Repeated rows are rows of one text. Texts under
+``window`` words lose none. A text is never cut, so a task needs some thirty
+times the bytes of its longest text. Of docs only doc_id and text are read, so
+other columns may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +43,23 @@ UNIT = 1 << 20
 
 _SENT = "rng int, told boolean, h1 binary, h2 binary, key binary, pos binary"
 _PARTS = "rng int, key binary, pos binary"
-_FOUND = "key long, pos binary"
+_FOUND = "key long, key2 long, pos binary"
 
-Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # h1, h2, key, position
+#: Key of a text: the two longs of shared.KEY.
+_KEY = np.dtype([("a", "<i8"), ("b", "<i8")])
+
+Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # h1, h2, key of the text, position
+
+
+def _keys(b: pa.RecordBatch) -> np.ndarray:
+    out = np.empty(b.num_rows, _KEY)
+    out["a"], out["b"] = b.column("key").to_numpy(), b.column("key2").to_numpy()
+    return out
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """Hash by which keys are dealt over ranges."""
+    return mix(np.ascontiguousarray(keys["a"]).view(np.uint64))
 
 
 def _cut(order_by: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -59,56 +80,67 @@ def _grouped(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, ~(new & last), new
 
 
+def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
+
+
 def _sent(parts: list[Windows], bits: int) -> pa.RecordBatch:
-    """A unit's windows by range: those it has once ask for an answer; of those it has twice one goes along (position -1), and all are reported as found (told)."""
+    """A unit's windows by range.
+
+    Those that it has once ask for an answer. Of those that it has twice one goes along (position -1), and all
+    are reported as found (told).
+    """
     h1, h2, key, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, twice, new = _grouped(h1, h2)
     h1, h2, key, pos = h1[order], h2[order], key[order], pos[order]
-    once = np.where(twice, -1, pos).astype(np.int32)
-    rows = [(q, False, h1[a:z][new[a:z]].tobytes(), h2[a:z][new[a:z]].tobytes(), key[a:z][new[a:z]].tobytes(), once[a:z][new[a:z]].tobytes()) for q, a, z in _cut(h1, bits)]
+    asked = [x[new] for x in (h1, h2, key, np.where(twice, -1, pos).astype(np.int32))]
+    rows = [(q, False, *(x[a:z].tobytes() for x in asked)) for q, a, z in _cut(asked[0], bits)]
     if twice.any():
-        key, pos = key[twice], pos[twice]
-        spread = mix(key.view(np.uint64))
+        key, pos = key[twice], pos[twice].astype(np.int32)
+        spread = _spread(key)
         o = np.argsort(spread, kind="stable")
-        rows += [(q, True, b"", b"", key[o[a:z]].tobytes(), pos[o[a:z]].astype(np.int32).tobytes()) for q, a, z in _cut(spread[o], bits)]
-    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rng", "told", "h1", "h2", "key", "pos"])
+        rows += [(q, True, b"", b"", key[o[a:z]].tobytes(), pos[o[a:z]].tobytes()) for q, a, z in _cut(spread[o], bits)]
+    names = ["rng", "told", "h1", "h2", "key", "pos"]
+    return _table(rows, names, [pa.int32(), pa.bool_(), *[pa.binary()] * 4]).combine_chunks().to_batches()[0]
 
 
 def _answered(bits: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one range of hashes: row keys and positions of the windows that stand in more than one place, by range of the keys."""
+    """Of one range of hashes: texts and positions of the windows that stand in more than one place, by range of the keys."""
+
+    def joined(group: pa.Table, column: str, kind: np.dtype | type, told: bool) -> np.ndarray:
+        picked = group.column(column).filter(pc.equal(group.column("told"), told))
+        return np.frombuffer(b"".join(picked.to_pylist()), kind)
 
     def run(group: pa.Table) -> pa.Table:
-        told = np.array(group.column("told").to_pylist(), bool)
-        h1, h2, key, pos = ([np.frombuffer(x, t) for x in group.column(c).to_pylist()] for c, t in (("h1", np.uint64), ("h2", np.uint64), ("key", np.int64), ("pos", np.int32)))
-        none = [np.zeros(0, np.int64)]
-        keys, places = np.concatenate([k for k, t in zip(key, told, strict=True) if t] or none), np.concatenate([p for p, t in zip(pos, told, strict=True) if t] or none)
-        if not told.all():
-            asked = [i for i in range(len(told)) if not told[i]]
-            order, twice, _ = _grouped(np.concatenate([h1[i] for i in asked]), np.concatenate([h2[i] for i in asked]))
-            k, p = np.concatenate([key[i] for i in asked])[order], np.concatenate([pos[i] for i in asked])[order]
+        keys, places = joined(group, "key", _KEY, True), joined(group, "pos", np.int32, True)
+        h1, h2 = joined(group, "h1", np.uint64, False), joined(group, "h2", np.uint64, False)
+        if len(h1):
+            order, twice, _ = _grouped(h1, h2)
+            k, p = joined(group, "key", _KEY, False)[order], joined(group, "pos", np.int32, False)[order]
             keep = twice & (p >= 0)
             keys, places = np.concatenate([keys, k[keep]]), np.concatenate([places, p[keep]])
-        spread = mix(keys.view(np.uint64))
+        spread = _spread(keys)
         o = np.argsort(spread, kind="stable")
-        rows = [(q, keys[o[a:z]].tobytes(), places[o[a:z]].astype(np.int32).tobytes()) for q, a, z in _cut(spread[o], bits)] if len(keys) else []
-        return pa.table({"rng": pa.array([r[0] for r in rows], pa.int32()), "key": pa.array([r[1] for r in rows], pa.binary()), "pos": pa.array([r[2] for r in rows], pa.binary())})
+        rows = [(q, keys[o[a:z]].tobytes(), places[o[a:z]].tobytes()) for q, a, z in _cut(spread[o], bits)]
+        return _table(rows, ["rng", "key", "pos"], [pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
-def _by_row(group: pa.Table) -> pa.Table:
-    """Of one range of row keys: the positions of each."""
-    keys = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("key").to_pylist()])
-    places = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("pos").to_pylist()])
-    order = np.argsort(keys, kind="stable")
+def _by_text(group: pa.Table) -> pa.Table:
+    """Of one range of keys: the positions of each."""
+    keys = np.frombuffer(b"".join(group.column("key").to_pylist()), _KEY)
+    places = np.frombuffer(b"".join(group.column("pos").to_pylist()), np.int32)
+    order = np.lexsort((keys["b"], keys["a"]))
     keys, places = keys[order], places[order]
-    used, first = np.unique(keys, return_index=True)
-    return pa.table({"key": pa.array(used, pa.int64()), "pos": pa.array([places[a:z].tobytes() for a, z in zip(first, [*first[1:], len(keys)], strict=True)], pa.binary())})
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    pos = [places[a:z].tobytes() for a, z in zip(first, [*first[1:], len(keys)], strict=True)] if len(keys) else []
+    cols = {"key": pa.array(keys["a"][first]), "key2": pa.array(keys["b"][first]), "pos": pa.array(pos, pa.binary())}
+    return pa.table(cols)
 
 
 def _repeats(rows: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[Windows]], bits: int) -> DataFrame:
-    """key and pos (int32 positions) of the windows that repeat anywhere, one row a key."""
+    """key, key2 and pos (int32 positions) of the windows that repeat anywhere, one row for each text of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -123,14 +155,15 @@ def _repeats(rows: DataFrame, windows: Callable[[pa.RecordBatch], Iterator[Windo
         if n:
             yield _sent(held, bits)
 
-    return rows.mapInArrow(run, _SENT).groupBy("rng").applyInArrow(_answered(bits), _PARTS).groupBy("rng").applyInArrow(_by_row, _FOUND)
+    answers = rows.mapInArrow(run, _SENT).groupBy("rng").applyInArrow(_answered(bits), _PARTS)
+    return answers.groupBy("rng").applyInArrow(_by_text, _FOUND)
 
 
 def _anchors(window: int) -> Callable[[pa.RecordBatch], Iterator[Windows]]:
     size = window - PERIOD + 1
 
     def run(b: pa.RecordBatch) -> Iterator[Windows]:
-        keys = b.column("key").to_numpy()
+        keys = _keys(b)
         for s in slices(b.column("text")):
             hashes = window_hashes(s.word_hashes(), size)
             long_ = s.n_words >= window
@@ -153,7 +186,7 @@ def _positions(places: pa.Array, rows: range, first: np.ndarray) -> tuple[np.nda
 
 def _extended(window: int) -> Callable[[pa.RecordBatch], Iterator[Windows]]:
     def run(b: pa.RecordBatch) -> Iterator[Windows]:
-        keys = b.column("key").to_numpy()
+        keys = _keys(b)
         for s in slices(b.column("text")):
             row, anchor = _positions(b.column("pos"), s.rows, s.first)
             change = np.zeros(int(s.first[-1]) + 2, np.int64)
@@ -162,7 +195,7 @@ def _extended(window: int) -> Callable[[pa.RecordBatch], Iterator[Windows]]:
             at = within(s.first, window)
             at = at[np.cumsum(change)[at] > 0]
             row = np.searchsorted(s.first, at, "right") - 1
-            one, two = window_hashes(s.word_hashes(), window), window_hashes(s.word_hashes(second=True), window, second=True)
+            one, two = window_hashes(s.word_hashes(), window), window_hashes(s.word_hashes(second=True), window)
             yield one[at], two[at], keys[s.rows.start : s.rows.stop][row], at - s.first[row]
 
     return run
@@ -171,11 +204,14 @@ def _extended(window: int) -> Callable[[pa.RecordBatch], Iterator[Windows]]:
 def _result(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, places in zip(b.column("text").to_pylist(), b.column("pos").to_pylist(), strict=True):
+            columns: list[list] = [[], [], [], []]
+            told = (b.column(c).to_pylist() for c in ("text", "pos", "again"))
+            for text, places, again in zip(*told, strict=True):
                 words = text.encode().split()  # bytes split at exactly the contract's white space
                 kept = words
-                if places:
+                if again and len(words) >= window:
+                    kept = []
+                elif places:
                     change = np.zeros(len(words) + 1, np.int64)
                     at = np.frombuffer(places, np.int32)
                     np.add.at(change, at, 1)
@@ -183,27 +219,48 @@ def _result(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     keep = np.cumsum(change)[:-1] == 0
                     kept = [w for w, k in zip(words, keep, strict=True) if k]
                 joined = b" ".join(kept)
-                n_words.append(len(words)), n_removed.append(len(words) - len(kept)), digests.append(hashlib.sha256(joined).hexdigest()), kept_texts.append(joined.decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                row = (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode())
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            arrays = [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
 
-def _of_keys(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Those rows whose key is found, with what was found; only their texts are shuffled while the keys may be broadcast."""
-    keys = found.select("key")
-    rows = rows.join(F.broadcast(keys), "key", "left_semi") if shared.few(keys) else rows
-    return rows.join(found, "key")
+def _of(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of distinct texts that are found, with what was found; only they are shuffled while the keys may be broadcast."""
+    keys = found.select(*shared.KEY)
+    texts = texts.join(F.broadcast(keys), list(shared.KEY), "left_semi") if shared.few(keys) else texts
+    return texts.join(found, list(shared.KEY))
 
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space), one row for each row of docs. window is at least PERIOD + 1."""
-    rows = shared.row_key(docs)
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space), one row for each row of docs.
+
+    window is at least PERIOD + 1.
+    """
+    key, schema = list(shared.KEY), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     bits = min(24, max(4, (shared.n_inputs(docs) * 2).bit_length()))
-    anchored = shared.written(_repeats(rows.select("key", "text"), _anchors(window), bits))
-    repeated = shared.written(_repeats(_of_keys(rows.select("key", "text"), anchored), _extended(window), bits))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    keys = repeated.select("key")
-    whole = rows.join(shared.hinted(keys), "key", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("pos"))
-    cut = _of_keys(rows, repeated).select("doc_id", "text", "pos")
-    return whole.mapInArrow(_result(window), schema).unionByName(cut.mapInArrow(_result(window), schema))
+    with shared.Scratch(docs.sparkSession) as tables:
+        rows = docs.select("doc_id", shared.body().alias("text"), *shared.text_key())
+        counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        counts = tables.keep(counts)
+        if shared.few(counts):
+            several = F.broadcast(counts.select(*key))
+            alone, copies = rows.join(several, key, "left_anti"), rows.join(several, key, "left_semi")
+        else:
+            alone = shared.dealt(rows, counts, key, counts, "left_anti")
+            copies = shared.dealt(rows, counts, key, counts)
+        one_each = shared.written(copies.groupBy(*key).agg(F.first("text").alias("text")))
+        texts = alone.select(*key, "text").unionByName(one_each)
+        anchored = shared.written(_repeats(texts, _anchors(window), bits))
+        repeated = tables.keep(_repeats(_of(texts, anchored), _extended(window), bits))
+    keys = repeated.select(*key)
+    none = F.lit(None).cast("binary").alias("pos")
+    whole = alone.join(shared.hinted(keys), key, "left_anti").select("doc_id", "text", none, F.lit(False).alias("again"))
+    again = copies.select("doc_id", "text", none, F.lit(True).alias("again"))
+    cut = _of(alone, repeated).select("doc_id", "text", "pos", F.lit(False).alias("again"))
+    simple = whole.unionByName(again).mapInArrow(_result(window), schema)
+    return simple.unionByName(cut.mapInArrow(_result(window), schema))

@@ -3,6 +3,9 @@
 Features are runs of small letters, so marks and capitals around a word do not
 hide it, with starts and ends of words. A document is toxic if the probability
 of grade ``least`` or above reaches ``cut``.
+
+Repeated rows get equal results, an empty table no rows; nulls, ties and very long
+texts are as in ordinal.py. Columns of the results' names are replaced, all others stay.
 """
 
 from __future__ import annotations
