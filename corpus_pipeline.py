@@ -2,7 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the rows it keeps; run()
 writes each result as Parquet to the shared folder and reads it again for the
-next.
+next; what a stage wrote for itself goes when its result is written.
+
+In every stage a null text counts as empty, a null doc_id or source is a value of
+its own, repeated rows count one by one, texts are read whole, other columns may
+have any name and stay, and an empty table gives no rows. What each does with empty
+texts, repeated rows and ties:
+
+- quality: empty texts go; repeated rows stay or go together; a probability at the
+  cut stays.
+- exact_dedup: of rows equal but for white space the longest, then least doc_id
+  stays; of repeated rows one.
+- near_dedup: the row of least doc_id, then row key, of each class stays; of
+  repeated rows one. Empty texts are one class.
+- mixing: empty texts have no words and are taken as often as every row of their source is at
+  least; of repeated rows some are taken once more than others.
+- packing: pieces of equal size are placed by doc_id, then hash of the text.
 """
 
 from __future__ import annotations
@@ -61,5 +76,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir))
+        with shared.Scratch(spark) as tables:
+            docs = tables.keep(stage(spark, docs, sf_dir))
     return docs
