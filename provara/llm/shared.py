@@ -103,7 +103,8 @@ def dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], counted: DataF
     if not hot.limit(1).count():
         return left.join(right, list(keys), how)
     hot = hot.orderBy(F.desc("n"), *keys).limit(HOT_KEYS)
-    parts = written(hot.select(*keys, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("provara_parts")).coalesce(1))
+    # at most HOT_KEYS rows, which any caller may still read
+    parts = _write(hot.select(*keys, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("provara_parts")).coalesce(1), None)
     number = F.coalesce("provara_parts", F.lit(1))
     deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), number).cast("int")
     left = left.join(F.broadcast(parts), list(keys), "left").withColumn("provara_part", deal).drop("provara_parts")

@@ -66,6 +66,8 @@ def _cut(order_by: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """range, start, end of each run of equal top bits of sorted hashes."""
     top = (order_by >> np.uint64(64 - bits)).astype(np.int64)
     used, first = np.unique(top, return_index=True)
+    if not len(used):
+        return []
     return [(int(q), int(a), int(z)) for q, a, z in zip(used, first, [*first[1:], len(top)], strict=True)]
 
 
