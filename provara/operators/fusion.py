@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provara.functions.numeric import CONFIG, calibrate, clip01, status
+from provara.session import settled
 
 
 def evidence_matrix(docs: DataFrame, skills: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -30,9 +31,10 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def rollups(cells: DataFrame) -> DataFrame:
-    """Weighted coverages of each document, partially summed before the shuffle."""
+    """Weighted coverages of each document, partially summed before the shuffle. With a column verdict, also how many claims are proven and contradicted."""
     required = F.col("tier") == "REQUIRED"
     w, of_required = F.col("weight"), F.when(required, F.col("weight"))
+    told = {"n_proven": "CORROBORATED", "n_contradicted": "CONTRADICTED"} if "verdict" in cells.columns else {}
     return cells.groupBy("doc_id").agg(
         _ratio(F.sum(w * F.col("lex_eff")), F.sum(w)).alias("lex_cov"),
         _ratio(F.sum(w * F.col("lex")), F.sum(w)).alias("lex_cov_raw"),
@@ -40,14 +42,49 @@ def rollups(cells: DataFrame) -> DataFrame:
         _ratio(F.sum(of_required * F.col("coverage")), F.sum(of_required)).alias("req_coverage"),
         F.coalesce(F.bround(F.avg(F.when(F.col("lex") > 0, F.col("lex_eff") / F.col("lex"))), 4), F.lit(1.0)).alias("mean_worth"),
         F.count_if(F.col("status") == "MATCHED").alias("n_matched"),
+        *(F.count_if(F.col("verdict") == v).alias(n) for n, v in told.items()),
     )
 
 
+def placed(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with ``name``, each row's place (from 1) in the order, which must be total.
+
+    Rows are cut into ranges of the order and numbered within each; the sizes of earlier ranges, one row a
+    range, are added. No task sees more than a range. The ranges are drawn from a sample, so they are written
+    once for both readers.
+    """
+    dealt = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = dealt.withColumn("_place", within).join(F.broadcast(offsets), "_range")
+    return out.withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_range", "_place", "_before")
+
+
+def _percentiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row with p_<column>: exact percentiles with linear interpolation, read off the values' counts and ranges."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = settled(counts.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.sum("_n").alias("_all"))
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_all").over(up), F.lit(0)).alias("_before"), F.sum("_all").over(Window.partitionBy()).alias("_total"))
+    last = F.sum("_n").over(Window.partitionBy("_range").orderBy(column)) + F.col("_before")
+    spots = dealt.join(F.broadcast(offsets), "_range").withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
+    found = []
+    for s in shares:
+        at = F.lit(s) * (F.col("_total") - 1)
+        low, high = (F.max(F.when((F.col("_first") <= f(at)) & (f(at) < F.col("_last")), F.col(column))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        found.append(low + part * (high - low))
+    return spots.agg(F.array(*found).alias(f"p_{column}"))
+
+
 def robust_norm(df: DataFrame, *columns: str) -> DataFrame:
     """Adds norm_<c>: between the 5th and 95th percentile of the pool, 0.5 if they are equal. The limits are one row."""
-    limits = df.agg(*(F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"p_{c}") for c in columns))
-    out = df.join(F.broadcast(limits), F.lit(True))
+    out = df
     for c in columns:
+        out = out.join(F.broadcast(_percentiles(df, c, (0.05, 0.95))), F.lit(True))
         low, high = F.get(f"p_{c}", F.lit(0)), F.get(f"p_{c}", F.lit(1))
         out = out.withColumn(f"norm_{c}", F.when(high - low < 1e-9, 0.5).otherwise(clip01((F.col(c) - low) / (high - low))))
     return out.drop(*(f"p_{c}" for c in columns))
@@ -68,34 +105,36 @@ def gate(enabled: bool = True) -> Column:
 
 def scored(p: DataFrame, alpha: float | Column = 0.5, gated: bool = False) -> DataFrame:
     a = clip01(F.lit(alpha) if isinstance(alpha, float) else alpha)
-    return p.withColumn("score", F.bround(F.lit(100.0) * (a * F.col("k") + (1 - a) * F.col("m")) * gate(gated), 2))
+    score = F.lit(100.0) * (a * F.col("k") + (1 - a) * F.col("m")) * gate(gated)
+    if "doc_multiplier" in p.columns:
+        score = score * F.coalesce("doc_multiplier", F.lit(1.0))
+    return p.withColumn("score", F.bround(score, 2))
 
 
 def ranked(p: DataFrame, alpha: float = 0.5, gated: bool = False) -> DataFrame:
     """Scores, ranks of both channels (ties by doc_id), reciprocal-rank fusion and its rank, the flag and the final rank.
 
-    Ranks are over the whole pool, so only narrow columns pass through these windows.
+    Ranks are over the whole pool: only narrow columns are put in order, in ranges (placed).
     """
     c = CONFIG
     s = scored(p, alpha, gated).select("doc_id", "k", "m", "score", "lex_cov_raw", "sem_cov", "req_coverage")
-    by = lambda *o: F.row_number().over(Window.orderBy(*o)).cast("long")
-    s = s.withColumns({"rank_k": by(F.desc("k"), "doc_id"), "rank_m": by(F.desc("m"), "doc_id")})
+    s = placed(placed(s, "rank_k", F.desc("k"), F.col("doc_id")), "rank_m", F.desc("m"), F.col("doc_id"))
     s = s.withColumn("rrf", F.lit(1.0) / (c.rrf_k + F.col("rank_k")) + F.lit(1.0) / (c.rrf_k + F.col("rank_m")))
-    s = s.withColumns({"rank_rrf": by(F.desc("rrf"), "doc_id"), "rank": by(F.desc("score"), "doc_id")})
+    s = placed(placed(s, "rank_rrf", F.desc("rrf"), F.col("doc_id")), "rank", F.desc("score"), F.col("doc_id"))
+    s = s.join(F.broadcast(p.agg(F.count(F.lit(1)).alias("_pool"))), F.lit(True))
     delta = F.col("rank_k") - F.col("rank_m")
-    ratio = F.abs(delta) / F.greatest(F.count(F.lit(1)).over(Window.partitionBy()), F.lit(1))
+    ratio = F.abs(delta) / F.greatest("_pool", F.lit(1))
     gem = (delta >= c.flag_delta) & (ratio >= c.gem_ratio) & (F.col("req_coverage") >= c.gem_coverage)
     surface = F.col("lex_cov_raw") - F.col("sem_cov") >= c.surface_gap
-    return s.withColumn("flag", F.when(gem, "HIDDEN_GEM").when(surface, "SURFACE_MATCH").otherwise("NONE"))
+    flag = F.when(gem, "HIDDEN_GEM").when(surface, "SURFACE_MATCH").otherwise("NONE")
+    return s.withColumn("flag", flag).drop("_pool")
 
 
 def leave_one_out(cells: DataFrame, p: DataFrame, top: int = 5) -> DataFrame:
     """For each required skill, how many enter the top without it. Sums without a skill are the sums less its cell; norms stay."""
     c = CONFIG
-    w = F.sum("weight").over(Window.partitionBy("doc_id"))
     less = cells.where("tier = 'REQUIRED'").select("doc_id", "skill", "weight", "lex_eff", "sem_cal")
     total = cells.groupBy("doc_id").agg(F.sum("weight").alias("all_w"))
-    del w
     d = less.join(total, "doc_id").join(p.select("doc_id", "lex_cov", "sem_cov", "norm_bm25_raw", "norm_docsim_raw"), "doc_id")
     rest = F.when(F.col("all_w") - F.col("weight") == 0, 1.0).otherwise(F.col("all_w") - F.col("weight"))
     lex = (F.col("all_w") * F.col("lex_cov") - F.col("weight") * F.col("lex_eff")) / rest
@@ -108,6 +147,31 @@ def leave_one_out(cells: DataFrame, p: DataFrame, top: int = 5) -> DataFrame:
     return d.join(F.broadcast(base.withColumn("was", F.lit(True))), "doc_id", "left").groupBy("skill").agg(F.count_if(F.col("was").isNull()).alias("entrants"), F.min("doc_id").alias("least_doc"))
 
 
+def without(cells: DataFrame, p: DataFrame, drop: DataFrame) -> DataFrame:
+    """Primitives of the pool as if the skills of drop (a requirement list) were not asked for; norms stay."""
+    c = CONFIG
+    rest = cells.join(F.broadcast(drop.select("skill").distinct()), "skill", "left_anti")
+    kept = p.select("doc_id", "bm25_raw", "docsim_raw", "norm_bm25_raw", "norm_docsim_raw")
+    out = kept.join(rollups(rest), "doc_id", "left").fillna(0.0, ["lex_cov", "lex_cov_raw", "sem_cov", "req_coverage"])
+    k = F.lit(c.k_bm25) * F.col("norm_bm25_raw") + F.lit(1 - c.k_bm25) * F.col("lex_cov")
+    m = F.lit(c.m_docsim) * F.col("norm_docsim_raw") + F.lit(1 - c.m_docsim) * F.col("sem_cov")
+    return out.withColumns({"k": F.round(k, 9), "m": F.round(m, 9)})
+
+
+def by_status(cells: DataFrame, *statuses: str) -> DataFrame:
+    """Cells of the given statuses with their place in the document, strongest first."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.desc(F.round("coverage", 6)), F.lower(F.col("skill").cast("string")))
+    return cells.where(F.col("status").isin(*statuses)).withColumn("place", F.row_number().over(order))
+
+
+def discounted() -> Column:
+    return (F.col("lex") > 0) & (F.col("lex_eff") < F.col("lex") - 1e-9)
+
+
+def boosted() -> Column:
+    return F.col("lex_eff") > F.col("lex") + 1e-9
+
+
 def top_gaps(cells: DataFrame, n: int = 5) -> DataFrame:
     """The n gaps of each document that matter most."""
     order = Window.partitionBy("doc_id").orderBy(F.col("tier") != "REQUIRED", F.desc("weight"), F.round("coverage", 6), "skill")

@@ -40,30 +40,102 @@ def alpha_ratio(text: Column) -> Column:
     return F.when(solid == 0, 0.0).otherwise(F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) / solid)
 
 
+def running(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it, in blocks, so that no long array is copied at each step."""
+    block = 256
+
+    def sums(a: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
+        step = lambda s, x: F.struct((s["sum"] + x).cast("int").alias("sum"), F.array_append(s["before"], s["sum"]).alias("before"))
+        return F.aggregate(a, start, step)
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(block))
+    # bound once each, since a lambda's argument is not worked out again
+    blocks = F.transform(starts, lambda i: sums(F.slice(sizes, i, F.lit(block))))
+    offsets = lambda b: sums(F.transform(b, lambda x: x["sum"]))["before"]
+    shifted = lambda b: F.zip_with(b, offsets(b), lambda x, o: F.transform(x["before"], lambda v: v + o))
+    return F.flatten(F.element_at(F.transform(F.array(blocks), shifted), 1))
+
+
+def _numbered_lines(text: Column) -> Column:
+    """Array of (line, start)."""
+    pairs = lambda parts: F.arrays_zip(parts.alias("line"), running(F.transform(parts, lambda p: F.length(p) + 1)).alias("start"))
+    return F.element_at(F.transform(F.array(F.split(text, "\n")), pairs), 1)
+
+
 def lines(docs: DataFrame, least: int = 25) -> DataFrame:
     """doc_id, line_no, start and end (code points, end exclusive) and text of lines of ``least`` or more characters."""
-    parts = F.split("text", "\n")
-    starts = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p) + 1))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(parts.alias("line"), starts.alias("start"))).alias("line_no", "p"))
+    rows = docs.select("doc_id", F.posexplode(_numbered_lines(F.col("text"))).alias("line_no", "p"))
     rows = rows.select("doc_id", "line_no", F.col("p.start").alias("start"), F.col("p.line").alias("line"))
     return rows.withColumn("end", F.col("start") + F.length("line")).where(F.length("line") >= least)
 
 
+# Where a long line is cut, and how long lines and pieces are.
+SENTENCE_END = r"(?<=[.!?])(?=\s+[A-Z(])"
+LONG_LINE, LEAST_CHUNK = 180, 25
+
+
+def chunks(docs: DataFrame, least: int = LEAST_CHUNK) -> DataFrame:
+    """doc_id, chunk_idx, start, end and text: lines without outer spaces, those of over LONG_LINE characters cut at sentence ends.
+
+    Lines and pieces under ``least`` characters are left out. The span (code points, end exclusive) is that of
+    the chunk's text in the document's.
+    """
+    lead = lambda p: F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))
+
+    def piece(p: Column, start: Column) -> Column:
+        bare = stripped(p)
+        return F.struct((start + lead(p)).alias("start"), (start + lead(p) + F.length(bare)).alias("end"), bare.alias("text"))
+
+    def pieces(x: Column) -> Column:
+        cut = F.when(F.length(stripped(x["line"])) > LONG_LINE, F.split(x["line"], SENTENCE_END)).otherwise(F.array(x["line"]))
+        placed = lambda c: F.zip_with(c, running(F.transform(c, F.length)), lambda p, o: piece(p, x["start"] + o))
+        return F.element_at(F.transform(F.array(cut), placed), 1)
+
+    long_enough = F.filter(_numbered_lines(F.col("text")), lambda x: F.length(stripped(x["line"])) >= least)
+    found = F.filter(F.flatten(F.transform(long_enough, pieces)), lambda p: F.length(p["text"]) >= least)
+    return docs.select("doc_id", F.posexplode(found).alias("chunk_idx", "p")).select("doc_id", "chunk_idx", "p.*")
+
+
+def counted(t: Column) -> Column:
+    """Array of (term, n) of an array of terms, in order of the terms."""
+
+    def of(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = lambda f: F.concat(F.slice(f, F.lit(2), F.size(f)), F.array(F.size(s)))
+        pair = lambda a, z: F.struct(F.get(s, a).alias("term"), (z - a).alias("n"))
+        return F.element_at(F.transform(F.array(firsts), lambda f: F.zip_with(f, ends(f), pair)), 1)
+
+    nothing = F.array().cast("array<struct<term: string, n: int>>")
+    return F.element_at(F.transform(F.array(F.sort_array(t)), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(nothing)), 1)
+
+
 def bm25(docs: DataFrame, query: DataFrame) -> DataFrame:
-    """doc_id and score against the query's tokens (column term, repeated terms count each time); a negative idf becomes 0.25 x the mean idf of all terms."""
+    """doc_id and score against the query's tokens (column term, repeated terms count each time), one row for each doc_id.
+
+    A negative idf becomes 0.25 x the mean idf of all terms. Terms are counted within their document's row, so
+    the text is never shuffled: only terms, summed up first, for their document counts, and one sum for each
+    document. The weights of the asked terms, as many as the query has, go to each task.
+    """
     c = CONFIG
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    lengths = t.select("doc_id", F.greatest(F.size("t"), F.lit(1)).alias("dl"))
-    pool = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = t.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(pool), F.lit(True))
-    idf = df.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    t = docs.select("doc_id", counted(tokens(F.col("text"))).alias("t"))
+    t = t.withColumn("dl", F.greatest(F.aggregate("t", F.lit(0), lambda s, p: s + p["n"]), F.lit(1)))
+    pool = t.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = t.select(F.explode("t.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.join(F.broadcast(pool), F.lit(True))
+    idf = idf.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("raw").alias("mean"))
     asked = query.groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    weights = idf.join(F.broadcast(asked), "term").join(F.broadcast(mean), F.lit(True)).select("term", "times", "n", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * 0.25).otherwise(F.col("raw")).alias("idf"))
-    hit = tf.join(F.broadcast(weights), "term").join(lengths, "doc_id")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (c.bm25_k1 + 1) / (F.col("tf") + c.bm25_k1 * (1 - c.bm25_b + c.bm25_b * F.col("dl") / F.col("avgdl")))
-    return docs.select("doc_id").join(hit.groupBy("doc_id").agg(F.sum(part).alias("s")), "doc_id", "left").select("doc_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    weights = idf.join(F.broadcast(asked), "term").join(F.broadcast(mean), F.lit(True))
+    idf = F.when(F.col("raw") < 0, F.col("mean") * 0.25).otherwise(F.col("raw"))
+    weights = weights.select("term", "times", "avgdl", idf.alias("idf"))
+    # with one more entry, every document has a row
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("n")))
+    each = t.select("doc_id", "dl", F.inline(F.concat("t", none)))
+    norm = F.col("n") + c.bm25_k1 * (1 - c.bm25_b + c.bm25_b * F.col("dl") / F.col("avgdl"))
+    part = F.col("times") * F.col("idf") * F.col("n") * (c.bm25_k1 + 1) / norm
+    hits = each.join(F.broadcast(weights), "term", "left").groupBy("doc_id").agg(F.sum(part).alias("s"))
+    return hits.select("doc_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
 
 
 # Intents of a question; the first match wins, in this order.
@@ -113,8 +185,9 @@ def folded(text: Column, aliases: Mapping[str, str]) -> Column:
         return F.lower(text)
     either = "|".join(rf"\Q{k}\E" for k in keys)
     table = F.create_map(*(F.lit(x) for k, v in aliases.items() for x in (k.lower(), v)))
-    parts = F.split(F.regexp_replace(F.lower(text), rf"(?<![A-Za-z0-9])({either})(?![A-Za-z0-9])", "\x01$1\x01"), "\x01")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.try_element_at(table, p)).otherwise(p)), "")
+    pattern = rf"(?<![A-Za-z0-9])({either})(?![A-Za-z0-9])"
+    gaps, hits = F.split(F.lower(text), pattern, -1), F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
+    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(F.try_element_at(table, h), F.lit("")))), "")
 
 
 def trimmed(text: Column, limit: int = 150) -> Column:
