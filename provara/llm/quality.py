@@ -18,9 +18,9 @@ from provara.llm import ordinal
 FEATURES = ordinal.Features(letters=False, head=3, tail=3)
 
 
-def fit_quality(docs: DataFrame, ratings: DataFrame, max_rows: int = 6000) -> ordinal.OrdinalModel:
+def fit_quality(docs: DataFrame, ratings: DataFrame, max_rows: int = 6000, max_bytes: int = 64 << 20) -> ordinal.OrdinalModel:
     """ratings: doc_id and grade (int, any number of grades, higher is better)."""
-    return ordinal.fit(docs, ratings, FEATURES, max_rows)
+    return ordinal.fit(docs, ratings, FEATURES, max_rows, max_bytes)
 
 
 def score_quality(docs: DataFrame, model: ordinal.OrdinalModel, least: int = 1, cut: float = 0.5) -> DataFrame:

@@ -18,9 +18,9 @@ from provara.llm import ordinal
 FEATURES = ordinal.Features(letters=True, head=4, tail=4)
 
 
-def fit_toxicity(docs: DataFrame, severities: DataFrame, max_rows: int = 10000) -> ordinal.OrdinalModel:
+def fit_toxicity(docs: DataFrame, severities: DataFrame, max_rows: int = 10000, max_bytes: int = 256 << 20) -> ordinal.OrdinalModel:
     """severities: doc_id and grade (int, any number of grades, 0 is clean)."""
-    return ordinal.fit(docs, severities, FEATURES, max_rows)
+    return ordinal.fit(docs, severities, FEATURES, max_rows, max_bytes)
 
 
 def score_toxicity(docs: DataFrame, model: ordinal.OrdinalModel, least: int = 1, cut: float = 0.4) -> DataFrame:
