@@ -82,7 +82,7 @@ def _percentiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataF
 
 def robust_norm(df: DataFrame, *columns: str) -> DataFrame:
     """Adds norm_<c>: between the 5th and 95th percentile of the pool, 0.5 if they are equal. The limits are one row."""
-    out = df
+    out = df = settled(df)
     for c in columns:
         out = out.join(F.broadcast(_percentiles(df, c, (0.05, 0.95))), F.lit(True))
         low, high = F.get(f"p_{c}", F.lit(0)), F.get(f"p_{c}", F.lit(1))
@@ -121,7 +121,7 @@ def ranked(p: DataFrame, alpha: float = 0.5, gated: bool = False) -> DataFrame:
     s = placed(placed(s, "rank_k", F.desc("k"), F.col("doc_id")), "rank_m", F.desc("m"), F.col("doc_id"))
     s = s.withColumn("rrf", F.lit(1.0) / (c.rrf_k + F.col("rank_k")) + F.lit(1.0) / (c.rrf_k + F.col("rank_m")))
     s = placed(placed(s, "rank_rrf", F.desc("rrf"), F.col("doc_id")), "rank", F.desc("score"), F.col("doc_id"))
-    s = s.join(F.broadcast(p.agg(F.count(F.lit(1)).alias("_pool"))), F.lit(True))
+    s = s.join(F.broadcast(s.agg(F.count(F.lit(1)).alias("_pool"))), F.lit(True))
     delta = F.col("rank_k") - F.col("rank_m")
     ratio = F.abs(delta) / F.greatest("_pool", F.lit(1))
     gem = (delta >= c.flag_delta) & (ratio >= c.gem_ratio) & (F.col("req_coverage") >= c.gem_coverage)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provara.operators import bias, enrichment, fusion, judgement, requirements, sections, semantic, text
+from provara.operators import bias, enrichment, fusion, judgement, requirements, sections, semantic, tellings, text
 from provara.plans import catalog
 from provara.plans.registry import query
 from provara.plans.texts import _LINES, ALIASES
@@ -344,3 +344,58 @@ def _combined(spark: SparkSession, d: str) -> DataFrame:
 def _detectable(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     return enrichment.detectable(part.select(F.col("p_brand").alias("skill")), part.select(F.col("p_type").alias("skill")), table(spark, d, "nation").select(F.col("n_name").alias("skill")), table(spark, d, "region").select(F.col("r_name").alias("skill")))
+
+
+_CHANNEL = """CASE flag WHEN 'HIDDEN_GEM' THEN base || '. Flagged HIDDEN GEM: required skills are demonstrably practised but not stated in the job description''s vocabulary, so a keyword-only filter would rank this candidate ' || abs(rank_k - rank_m) || CASE WHEN abs(rank_k - rank_m) = 1 THEN ' place' ELSE ' places' END || ' lower than the evidence warrants.'
+WHEN 'SURFACE_MATCH' THEN base || '. Flagged SURFACE MATCH: the resume names the required skills but shows little supporting work, so lexical coverage runs well ahead of semantic coverage. Worth probing in interview.' ELSE base || '. Both channels agree (lexical #' || rank_k || ', semantic #' || rank_m || ').' END"""
+
+
+@query("H02_channel_lines", catalog.BASE + f"SELECT doc_id, {_CHANNEL} AS line FROM (SELECT *, printf('Keyword channel %.2f, semantic channel %.2f', round(k, 2), round(m, 2)) AS base FROM ranked)")
+def _channel_lines(spark: SparkSession, d: str) -> DataFrame:
+    r = fusion.ranked(catalog.prims(spark, d)).withColumns({"k": F.round("k", 2), "m": F.round("m", 2)})
+    return r.select("doc_id", tellings.channel_line().alias("line"))
+
+
+#: Weeks of each document: ten times what its five gaps lack, in their weights.
+@query("U03_ramp_up_verdicts", catalog.BASE + catalog._GAPS + """, s AS (SELECT doc_id, round(sum(weight * (1 - coverage)), 2) AS weeks, list(skill ORDER BY place) AS a, list(skill ORDER BY place) FILTER (tier = 'REQUIRED') AS r FROM g WHERE place <= 5 GROUP BY doc_id),
+t AS (SELECT pool.doc_id, coalesce(weeks, 0.0) AS weeks, a, CASE WHEN len(coalesce(r, [])) > 0 THEN r ELSE a END AS shown, len(coalesce(r, [])) > 0 AS asked FROM pool LEFT JOIN s USING (doc_id))
+SELECT doc_id, CASE WHEN a IS NULL THEN 'ready' WHEN weeks <= 2 THEN 'short' WHEN weeks <= 6 THEN 'moderate' ELSE 'long' END AS verdict, len(coalesce(shown, []))::INT AS n FROM t""")
+def _ramp_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    gaps = fusion.top_gaps(catalog.cells(spark, d))
+    sums = gaps.groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * (1 - F.col("coverage"))), 2).alias("weeks"))
+    weeks = catalog.pool(spark, d).join(sums, "doc_id", "left").select("doc_id", F.coalesce("weeks", F.lit(0.0)).alias("weeks"), F.lit("some weeks").alias("human"))
+    told = tellings.ramp_up(gaps, weeks)
+    n = F.coalesce(F.regexp_extract("headline", r"^(\d+) ", 1).try_cast("int"), F.lit(0))
+    return told.select("doc_id", "verdict", n.alias("n"))
+
+
+@query("X08_reasons", "SELECT n_name AS target, CASE n_nationkey % 5 WHEN 0 THEN 'Both are ' || r_name || '; the concepts carry over and the syntax is the delta.' WHEN 1 THEN 'Same family (' || r_name || ') — the model transfers, the API surface does not.' WHEN 2 THEN 'Shared ground is ' || r_name || '; the ecosystem around it is new.' WHEN 3 THEN 'x and ' || n_name || ' only meet at ' || r_name || ' — this is a change of discipline, not a change of tool.' ELSE 'No adjacent experience on the resume.' END AS reason FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _reasons(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    kind = F.element_at(F.array(*map(F.lit, ("sibling", "family", "domain", "discipline", "none"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return n.select(F.col("n_name").alias("target"), tellings.relation_reason(kind, F.col("r_name"), F.lit("x"), F.col("n_name")).alias("reason"))
+
+
+@query("Q01_probes", catalog.BASE + "SELECT doc_id, skill, CASE WHEN skill LIKE '%1' THEN 'of ' || skill WHEN cluster = 0 THEN 'of the first' ELSE 'of others' END AS probe FROM cells")
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    own = catalog.skills(spark, d).where("skill like '%1'").select("skill", F.concat(F.lit("of "), "skill").alias("probe"))
+    shared_ = spark.createDataFrame([(0, "of the first")], "cluster int, probe string")
+    return tellings.probes(catalog.cells(spark, d), own, shared_, "of others").select("doc_id", "skill", "probe")
+
+
+@query("H05_decisive", catalog.BASE + "SELECT skill, a.h AS in_a, b.h AS in_b, (row_number() OVER (ORDER BY weight DESC, skill))::INT AS place FROM (SELECT skill, weight, status IN ('MATCHED', 'INFERRED') AS h FROM cells WHERE doc_id = 1) a JOIN (SELECT skill, status IN ('MATCHED', 'INFERRED') AS h FROM cells WHERE doc_id = 2) b USING (skill) WHERE a.h <> b.h")
+def _decisive(spark: SparkSession, d: str) -> DataFrame:
+    return tellings.decisive(catalog.cells(spark, d), 1, 2)
+
+
+@query("W04_combined_steps", catalog.BASE + catalog._GAPS + """, t AS (SELECT c.doc_id, sum(weight * CASE WHEN x.skill IS NOT NULL THEN 1.0 ELSE lex_eff END) / sum(weight) AS after, count(x.skill) AS n_steps FROM cells c LEFT JOIN (SELECT doc_id, skill FROM g WHERE place <= 3) x ON c.doc_id = x.doc_id AND c.skill = x.skill GROUP BY 1)
+SELECT doc_id, n_steps, round(50.0::DOUBLE * 0.6 * (after - lex_cov), 4) AS points FROM t JOIN p USING (doc_id) WHERE n_steps > 0""")
+def _combined_steps(spark: SparkSession, d: str) -> DataFrame:
+    cells = catalog.cells(spark, d)
+    return tellings.combined_steps(fusion.top_gaps(cells, 3), cells, catalog.prims(spark, d))
+
+
+@query("H11_scatter", catalog.BASE + "SELECT doc_id, round(score / greatest(100.0, (SELECT max(score) FROM sc)), 6) AS x, round(least(greatest(1 - req_coverage, 0.0), 1.0), 6) AS y FROM sc")
+def _scatter(spark: SparkSession, d: str) -> DataFrame:
+    s = fusion.scored(catalog.prims(spark, d)).withColumn("gap_density", 1 - F.col("req_coverage"))
+    return tellings.scatter(s).select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
