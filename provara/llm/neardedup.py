@@ -311,7 +311,10 @@ def _alike(members: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     links = written(_verified(pairs, bags, least))
     roots = components(links)
     for t in range(HUB_ROUNDS):
-        fresh = _hub_pairs(written(_open(members, roots)), t).join(pairs, ["a", "b"], "left_anti")
+        open_ = written(_open(members, roots))
+        if not open_.limit(1).count():
+            return roots
+        fresh = _hub_pairs(open_, t).join(pairs, ["a", "b"], "left_anti")
         more = written(_verified(written(fresh), bags, least))
         if not more.limit(1).count():
             break
