@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-from pyspark.sql.window import Window
+
+from provara.operators.fusion import placed
 
 # Category, pattern, placeholder, in order; years inside EDUCATION; addresses of code, which stay.
 CODE_URL = r"(?:https?://)?(?:www\.)?github\.com/[\w.-]+(?:/[\w.-]+)?/?"
@@ -86,5 +87,6 @@ def audit(spans: Column) -> Column:
 
 
 def aliases(pool: DataFrame, order: str) -> DataFrame:
-    """pool with 'Candidate NN' by position in the given order; a pool is one request's documents."""
-    return pool.withColumn("alias", F.format_string("Candidate %02d", F.row_number().over(Window.orderBy(order))))
+    """pool with 'Candidate NN' by position in the given order, whose values are each other's unlike."""
+    alias = F.format_string("Candidate %02d", F.col("_at"))
+    return placed(pool, "_at", F.col(order)).withColumn("alias", alias).drop("_at")

@@ -7,6 +7,8 @@ tables; pairs of skills are made once and joined from then on.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,14 +28,20 @@ def _lookup(table: dict, key: Column, default: float) -> Column:
 def closure(skills: DataFrame, concepts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """skill, ancestor, level (0 is the parent); a concept counts at its least level."""
     spark = skills.sparkSession
-    skills.select("skill", F.col("parent").alias("concept")).createOrReplaceTempView("provara_skill_parent")
-    concepts.select("concept", "parent").createOrReplaceTempView("provara_concept_parent")
-    walk = spark.sql(
-        f"""WITH RECURSIVE up (skill, ancestor, level) AS (
-        SELECT skill, concept, 0 FROM provara_skill_parent WHERE concept IS NOT NULL
-        UNION ALL SELECT up.skill, c.parent, up.level + 1 FROM up JOIN provara_concept_parent c ON up.ancestor = c.concept WHERE c.parent IS NOT NULL AND up.level < {depth})
-        SELECT skill, ancestor, level FROM up"""
-    )
+    above, of = (f"provara_{uuid.uuid4().hex}" for _ in range(2))
+    skills.select("skill", F.col("parent").alias("concept")).createOrReplaceTempView(of)
+    concepts.select("concept", "parent").createOrReplaceTempView(above)
+    try:
+        walk = spark.sql(
+            f"""WITH RECURSIVE up (skill, ancestor, level) AS (
+            SELECT skill, concept, 0 FROM {of} WHERE concept IS NOT NULL
+            UNION ALL SELECT up.skill, c.parent, up.level + 1 FROM up JOIN {above} c ON up.ancestor = c.concept
+            WHERE c.parent IS NOT NULL AND up.level < {depth})
+            SELECT skill, ancestor, level FROM up"""
+        )
+    finally:  # the names are in the plan by now
+        spark.catalog.dropTempView(of)
+        spark.catalog.dropTempView(above)
     return walk.groupBy("skill", "ancestor").agg(F.min("level").alias("level"))
 
 

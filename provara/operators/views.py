@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from provara.functions.numeric import CONFIG
 from provara.operators import fusion
+from provara.session import settled
 
 # Penalties of findings by severity; any other severity counts as low.
 PENALTY = {"critical": 30, "high": 12, "medium": 6, "low": 2}
@@ -25,22 +26,18 @@ def explained(cells: DataFrame, top: int = 3) -> DataFrame:
 def places(pool: DataFrame, trials: DataFrame) -> DataFrame:
     """trials (doc_id, score, ...) with new_rank: 1 + the rows of pool (doc_id, score) that stand before it by score, then doc_id, its own row aside.
 
-    Scores have two decimals from 0 to 100, so the table of rows by score has
-    at most 10,001 rows at any size of the pool; ties are counted within a score.
+    Pool and trials are put in one order, in ranges; a trial's place there, less its place among the trials
+    alone, is how many of the pool stand before it.
     """
-    by_score = pool.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    above = by_score.withColumn("until", F.sum("n").over(Window.orderBy("score").rowsBetween(Window.currentRow + 1, Window.unboundedFollowing)))
-    steps = above.select("score", "n", F.coalesce("until", F.lit(0)).alias("above"))
-    ladder = steps.agg(F.array_sort(F.collect_list(F.struct("score", "n", "above"))).alias("ladder"))
-    better = F.aggregate("ladder", F.lit(0).cast("long"), lambda s, x: s + F.when(x["score"] > F.col("score"), x["n"]).otherwise(0))
-    asked = trials.select("score").distinct().join(F.broadcast(ladder), F.lit(True)).select("score", better.alias("above"))
-    ties = Window.partitionBy("score").orderBy("doc_id", "_pool").rowsBetween(Window.unboundedPreceding, -1)
-    rows = pool.select("doc_id", "score", F.lit(1).alias("_pool"), F.lit(None).cast("string").alias("_key"))
-    mine = trials.withColumn("_key", F.to_json(F.struct(*[c for c in trials.columns])))
-    tied = rows.unionByName(mine.select("doc_id", "score", F.lit(0).alias("_pool"), "_key")).withColumn("_before", F.coalesce(F.sum("_pool").over(ties), F.lit(0)))
-    tied = tied.where("_pool = 0").select("_key", "_before").dropDuplicates(["_key"])
-    out = mine.join(tied, "_key").join(asked, "score")
-    return out.withColumn("new_rank", (F.col("above") + F.col("_before") + 1).cast("long")).drop("_key", "_before", "above")
+    t = settled(trials.withColumn("_t", F.monotonically_increasing_id()))
+    order = (F.desc("score"), F.col("doc_id"), F.col("_pool"), F.col("_t"))
+    mine = t.select("doc_id", "score", F.lit(0).alias("_pool"), "_t")
+    both = pool.select("doc_id", "score", F.lit(1).alias("_pool"), F.lit(-1).cast("long").alias("_t")).unionByName(mine)
+    among = fusion.placed(both, "_all", *order).where("_pool = 0").select("_t", "_all")
+    alone = fusion.placed(mine, "_own", *order).select("_t", "_own")
+    out = t.join(among, "_t").join(alone, "_t").join(pool.select("doc_id", F.col("score").alias("_was")), "doc_id", "left")
+    own = F.coalesce((F.col("_was") > F.col("score")).cast("long"), F.lit(0))
+    return out.withColumn("new_rank", F.col("_all") - F.col("_own") + 1 - own).drop("_t", "_all", "_own", "_was")
 
 
 def roadmap(cells: DataFrame, p: DataFrame, steps: int = 3) -> DataFrame:

@@ -67,7 +67,7 @@ class Service:
         spark = self._primitives().sparkSession
         asked = spark.range(1).select(text.intent(F.lit(question)).alias("i"), views.top_asked(F.lit(question), F.lit(self.subs.count())).alias("n")).first()
         ranked = self.rank(alpha, gate)
-        ids = self.subs.where(F.rlike(F.lit(question), F.concat(F.lit(r"(^|[^A-Za-z0-9])"), F.col("doc_id").cast("string"), F.lit(r"([^A-Za-z0-9]|$)")))).select("doc_id", F.instr(F.lit(question), F.col("doc_id").cast("string")).alias("at"))
+        ids = self.subs.where(F.rlike(F.lit(question), F.concat(F.lit(r"(^|[^A-Za-z0-9])\Q"), F.col("doc_id").cast("string"), F.lit(r"\E([^A-Za-z0-9]|$)")))).select("doc_id", F.instr(F.lit(question), F.col("doc_id").cast("string")).alias("at"))
         if asked.i == "TOP_N":
             return asked.i, ranked.where(F.col("rank") <= asked.n)
         if asked.i == "WHO_HAS":
