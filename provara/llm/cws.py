@@ -128,7 +128,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
     dest = F.explode(F.when(is_first, F.array(own, sent_back)).otherwise(F.array(own)))
     sent = rows.select("doc_id", "text", "n", "order", dest.alias("dest"))
     sent = sent.select("doc_id", "text", "n", "order", "dest.*").repartition(buckets, "bucket")
-    by = Window.partitionBy("bucket").orderBy("halo", "order")
+    # with doc_id and n in the order, all who read this read the same columns, and the texts are shuffled once
+    by = Window.partitionBy("bucket").orderBy("halo", "order", "doc_id", "n")
     next_text = F.lead("text").over(by).alias("next_text")
     return sent.select("bucket", F.row_number().over(by).alias("place"), "doc_id", "text", "n", next_text, "halo")
 
