@@ -213,7 +213,8 @@ def test_fingerprints_equal_brute_force_over_many_buckets(spark):
     for g in got:
         for likeness, true in zip((g.near_edited, g.near_next), exact[(g.doc_id, g.edited_sha256)], strict=True):
             errors.append(likeness - true)
-    assert abs(np.mean(errors)) < 0.01 and np.sqrt(np.mean(np.square(errors))) < 0.07
+    # the texts share their words and so their samples: the mean error is not that of independent draws
+    assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.07
 
 
 def brute_fit(pieces, capacity, lanes):
