@@ -35,7 +35,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier rejects go."""
     ship(spark)
     ratings = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"))
-    return quality.score_quality(docs, quality.fit_quality(docs, ratings)).where("keep").select(*docs.columns)
+    # columns of docs travel as one struct, so that none is replaced by the classifier's
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return quality.score_quality(rows, quality.fit_quality(docs, ratings)).where("keep").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
