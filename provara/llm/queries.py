@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provara.llm import cws, exactdedup, langid, mixing, neardedup, packing, pieces, pii, quality, shared, substrings, toxicity
+from provara.llm import centroids, cws, exactdedup, langid, mixing, neardedup, packing, pieces, pii, quality, shared, substrings, toxicity
 from provara.session import table
 
 
@@ -65,6 +65,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -83,10 +89,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_centroids": op11_centroids,
     "op12_sentencepiece": op12_sentencepiece,
 }
 
+#: One round: every vector's nearest centroid, and the floor of the means (sum - sum mod n) / n.
+_ASSIGNED = """
+a{i} AS (SELECT vec_id, v, arg_min(number, d * 16 + number) AS number, min(d) AS d FROM (
+  SELECT vec_id, v, number, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM w, c{i}) GROUP BY vec_id, v)"""
+_MOVED = """
+m{i} AS (SELECT number, list(m ORDER BY place) AS c FROM (
+  SELECT number, place, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+  FROM (SELECT number, unnest(v) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY number, place) GROUP BY number),
+c{j} AS (SELECT c{i}.number, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (number)),"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": """
+WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS number, v AS c FROM w ORDER BY number LIMIT 16),"""
+    + "".join(_ASSIGNED.format(i=i) + "," + _MOVED.format(i=i, j=i + 1) for i in range(3))
+    + _ASSIGNED.format(i=3)
+    + """
+SELECT vec_id, number::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY number))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (number)
+""",
     "op5_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
 w AS (SELECT doc_id, bare, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER o AS place
