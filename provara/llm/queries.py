@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provara.llm import centroids, cws, exactdedup, langid, mixing, neardedup, packing, pieces, pii, quality, shared, substrings, toxicity
+from provara.llm import centroids, cws, exactdedup, langid, mixing, neardedup, packing, pieces, pii, quality, shared, substrings, toxicity, trie
 from provara.session import table
 
 
@@ -78,6 +78,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_centroids": op11_centroids,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: One round: every vector's nearest centroid, and the floor of the means (sum - sum mod n) / n.
@@ -120,5 +125,26 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coa
 w AS (SELECT doc_id, bare, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER o AS place
       FROM t WINDOW o AS (PARTITION BY bare ORDER BY n_cp DESC, doc_id))
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(bare) AS text_sha256 FROM w
+""",
+    # crc32 bit by bit over the id's decimal digits
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, sha256(length(role) || ':' || role || text) AS g, length(text) AS n, turn FROM t),
+own AS (SELECT conv_id, list({'g': g, 'n': n} ORDER BY turn NULLS FIRST, g) AS turns FROM g GROUP BY conv_id),
+h AS (SELECT conv_id, turns, conv_id - (conv_id % 100 + 100) % 100 AS base, xor(list_reduce(
+    list_concat([4294967295::UBIGINT], list_transform(regexp_extract_all(conv_id::VARCHAR, '.'), lambda x: ascii(x)::UBIGINT)),
+    lambda c, x: list_reduce(list_concat([xor(c, x)], repeat([0::UBIGINT], 8)), lambda v, z: xor(v >> 1, (v & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 6 AS h FROM own),
+r AS (SELECT h.conv_id AS c, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own b ON b.conv_id = h.base),
+p AS (SELECT c, len(turns) AS len, d, sha256(array_to_string(list_transform(turns[1:d], lambda x: x.g), ',')) AS k,
+  sha256(array_to_string(list_transform(turns[1:d - 1], lambda x: x.g), ',')) AS up, CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS n
+  FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM r)),
+nodes AS (SELECT d, k, any_value(up) AS up, min(c) AS conv, count(*) AS n_convs, any_value(n) AS n,
+  sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE d = len), '')) AS ends FROM p GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+sums AS (SELECT p.d, p.k, sum((n_convs - 1) * nodes.n) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves
+  FROM nodes LEFT JOIN kids USING (d, k) JOIN p ON p.c = nodes.conv AND p.d <= nodes.d GROUP BY p.d, p.k)
+SELECT x.conv AS conv_id, x.d::BIGINT AS depth, y.conv AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves,
+  saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x LEFT JOIN nodes y ON y.d = x.d - 1 AND y.k = x.up AND x.d > 0 LEFT JOIN kids ON kids.d = x.d AND kids.k = x.k JOIN sums ON sums.d = x.d AND sums.k = x.k
 """,
 }

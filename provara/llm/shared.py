@@ -82,6 +82,12 @@ class Scratch:
         return _write(df, _open[at - 1] if at else None)
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    """Lets checkpoint() write to the shared folder where the application names no folder of its own."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder(spark))
+
+
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a written table is small enough to broadcast."""
     return df.count() <= limit
