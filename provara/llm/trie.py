@@ -245,7 +245,7 @@ def _partials(turns: DataFrame) -> DataFrame:
     told = ordered.mapInArrow(_summarised, "part int, first long, last long, turns long, after array<binary>, head array<binary>, head_chars array<long>")
     rows = sorted(told.collect(), key=lambda r: r.part)  # one a partition
     place, places = _Place(), {}
-    for row, next_ in zip(rows, [*rows[1:], None], strict=True):
+    for row, next_ in zip(rows, [*rows[1:], None], strict=False):
         places[row.part] = place, next_ is not None and next_.first == row.last
         head = [(int.from_bytes(x), n) for x, n in zip(row.head, row.head_chars, strict=True)]
         place = place.after(_Summary(row.first, row.last, row.turns, [int.from_bytes(x) for x in row.after], head))
