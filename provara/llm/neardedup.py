@@ -179,10 +179,11 @@ def _counted(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b; a written table) that are alike. A vertex of many pairs is dealt over several tasks."""
-    for x in ("a", "b"):
+    """Those of pairs (a, b; a written table) that are alike. A vertex of many pairs is dealt over several tasks, by its partners."""
+    counts = {x: _counted(pairs, x) for x in ("a", "b")}
+    for x, partner in (("a", "b"), ("b", "a")):
         held = bags.select(F.col("v").alias(x), F.col("bag").alias(f"bag_{x}"))
-        pairs = shared.dealt(pairs, held, [x], _counted(pairs, x)) if x == "a" else pairs.join(held, x)
+        pairs = shared.dealt(pairs, held, [x], counts[x], by=F.xxhash64(partner))
     return pairs.select("a", "b", "bag_a", "bag_b").mapInArrow(_similar(least), "a long, b long")
 
 
@@ -282,9 +283,10 @@ def _prefix_pairs(bags: DataFrame, least: float) -> DataFrame:
     both. The order only decides how many other pairs come along.
     """
     p = shared.written(bags.mapInArrow(_prefixes(least, *_frequent(bags)), "v long, root long, n long, value long, place long, first boolean"))
-    met = p.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
+    met = p.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+    met = shared.written(met.select("value", "n", F.ceil(F.sqrt("n") / 8).cast("int").alias("parts")))
     # the members of a shingle are met in several parts if they are many
-    p = p.join(met.select("value", F.ceil(F.sqrt("m") / 8).cast("int").alias("parts")), "value")
+    p = shared.dealt(p, met.select("value", "parts"), ["value"], met, by=F.xxhash64("v"))
     short = p.where("first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("s")
     long_ = p.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).alias("l")
     sized = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.v") < F.col("l.v")))

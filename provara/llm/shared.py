@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Columns of a row's 128-bit key.
 KEY = ("key", "key2")
 
-_open: list[Scratch] = []
+#: The Scratches open in this thread, innermost last: calls in other threads do not see them.
+_open: ContextVar[tuple[Scratch, ...]] = ContextVar("open", default=())
 
 
 def folder(spark: SparkSession) -> str:
@@ -58,7 +60,7 @@ def written(df: DataFrame) -> DataFrame:
 
     The table goes with the innermost Scratch that is open, else when the application ends.
     """
-    return _write(df, _open[-1] if _open else None)
+    return _write(df, _open.get()[-1] if _open.get() else None)
 
 
 class Scratch:
@@ -68,18 +70,18 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
-        _open.append(self)
+        self.token = _open.set((*_open.get(), self))
         return self
 
     def __exit__(self, *_: object) -> None:
-        _open.remove(self)
+        _open.reset(self.token)
         for path in self.paths:
             fs, p = _file_system(self.spark, path)
             fs.delete(p, True)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        at = _open.index(self)
-        return _write(df, _open[at - 1] if at else None)
+        outer = _open.get()[: _open.get().index(self)]
+        return _write(df, outer[-1] if outer else None)
 
 
 def with_checkpoints(spark: SparkSession) -> None:
@@ -98,12 +100,15 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, limit) else df
 
 
-def dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], counted: DataFrame, how: str = "inner") -> DataFrame:
+def dealt(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], counted: DataFrame, how: str = "inner", by: Column | None = None
+) -> DataFrame:
     """left joined to right on keys, with hot keys dealt over several tasks.
 
     counted has the keys and n, the number of rows of left for each. The HOT_KEYS keys of most rows (if over
-    SALT_ROWS) get parts of SALT_ROWS rows each: rows of left go to a part by their place in left, which is
-    therefore a written table or one of files; rows of right go to all parts of their key.
+    SALT_ROWS) get parts of SALT_ROWS rows each: rows of left go to a part by the value of ``by``, or without
+    one by their place in left, which then is a written table or one of files; rows of right go to all parts
+    of their key.
     """
     hot = counted.where(F.col("n") > SALT_ROWS)
     if not hot.limit(1).count():
@@ -112,7 +117,7 @@ def dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], counted: DataF
     # at most HOT_KEYS rows, which any caller may still read
     parts = _write(hot.select(*keys, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("provara_parts")).coalesce(1), None)
     number = F.coalesce("provara_parts", F.lit(1))
-    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), number).cast("int")
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()) if by is None else by, number).cast("int")
     left = left.join(F.broadcast(parts), list(keys), "left").withColumn("provara_part", deal).drop("provara_parts")
     every = F.explode(F.sequence(F.lit(0), number - 1))
     right = right.join(F.broadcast(parts), list(keys), "left").withColumn("provara_part", every).drop("provara_parts")
