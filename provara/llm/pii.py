@@ -45,6 +45,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
+#: Digits that make a number of several parts a whole one, and most digits of one.
+NUMBERS = {"phone": (7, 15), "card": (13, 19)}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -197,6 +199,10 @@ class Field:
         joined = {a for a, _ in near}, {b for _, b in near}
         own = np.array([self.unary[unary(t, i in joined[1], i in joined[0])].sum(axis=0) for i, t in enumerate(ts)]) + known(ts) @ self.skip
         own = np.exp(np.maximum(own - own.max(axis=1, keepdims=True), -500))
+        for i, t in enumerate(ts):
+            if t.base:  # what is known is no variable: its neighbours hear of this label alone
+                own[i] = 1e-12
+                own[i, t.base] = 1.0
         edges = [(a, b, np.exp(self.chain)) for a, b in near] + [(a, b, np.exp(self.skip)) for a, b in far]
         if not edges:
             return own / own.sum(axis=1, keepdims=True)
@@ -295,6 +301,14 @@ def fitted(rounds: int = 150) -> Field:
     return Field(u, c, (s + s.T) / 2)
 
 
+def _same_mention(kind: str, before: str, part: str) -> bool:
+    """Whether a part that follows others of its kind goes on with them: they are no whole number yet, and it makes none too long."""
+    if kind not in NUMBERS:
+        return False
+    whole, most = NUMBERS[kind]
+    return len(_digits(before)) < whole and len(_digits(before)) + len(_digits(part)) <= most
+
+
 def find(text: str | None, field: Field, sure: float = 0.8) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
     """Base spans by kind, and the spans that the field adds (label of at least ``sure``)."""
     text = text or ""
@@ -306,7 +320,8 @@ def find(text: str | None, field: Field, sure: float = 0.8) -> tuple[dict[str, l
         for i, t in enumerate(ts):
             if best[i] and not t.base and p[i, best[i]] >= sure:
                 kind = LABELS[best[i]]
-                if more and more[-1][0] == kind and ts[i - 1].index == t.index - 1 and more[-1][2] == ts[i - 1].end:
+                beside = more and more[-1][0] == kind and ts[i - 1].index == t.index - 1 and more[-1][2] == ts[i - 1].end
+                if beside and _same_mention(kind, text[more[-1][1] : more[-1][2]], t.text):
                     more[-1] = (kind, more[-1][1], t.end)
                 else:
                     more.append((kind, t.start, t.end))
