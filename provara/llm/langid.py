@@ -203,5 +203,7 @@ def detect(model: LanguageModel, text: Column) -> Column:
 
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred, score and languages; columns of these names are replaced."""
-    told = docs.drop("lang_pred", "score", "languages").withColumn("provara_lang", detect(model, F.col("text")))
-    return told.withColumns({"lang_pred": F.col("provara_lang.lang"), "score": F.col("provara_lang.score"), "languages": F.col("provara_lang.languages")}).drop("provara_lang")
+    # columns of docs travel as one struct, so that only those of the results' names are replaced
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "languages")))
+    told = docs.select(rest.alias("row"), detect(model, F.col("text")).alias("found"))
+    return told.select("row.*", F.col("found.lang").alias("lang_pred"), "found.score", "found.languages")

@@ -25,6 +25,8 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, max_rows: int = 6000, max_b
 
 def score_quality(docs: DataFrame, model: ordinal.OrdinalModel, least: int = 1, cut: float = 0.5) -> DataFrame:
     """docs with expected_grade, tail_prob and keep; one row for each row, in which columns of these names are replaced. A null or empty text is no evidence of quality: keep is false."""
-    told = docs.drop("expected_grade", "tail_prob", "keep").withColumn("provara_graded", ordinal.graded(model, F.col("text"), least))
-    told = told.withColumns({"expected_grade": F.col("provara_graded.expected"), "tail_prob": F.col("provara_graded.tail")}).drop("provara_graded")
-    return told.withColumn("keep", (F.length(F.coalesce("text", F.lit(""))) > 0) & (F.col("tail_prob") >= cut))
+    # columns of docs travel as one struct, so that only those of the results' names are replaced
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("expected_grade", "tail_prob", "keep")))
+    told = docs.select(rest.alias("row"), F.length(F.coalesce("text", F.lit(""))).alias("n"), ordinal.graded(model, F.col("text"), least).alias("g"))
+    chosen = (F.col("n") > 0) & (F.col("g.tail") >= cut)
+    return told.select("row.*", F.col("g.expected").alias("expected_grade"), F.col("g.tail").alias("tail_prob"), chosen.alias("keep"))

@@ -25,6 +25,8 @@ def fit_toxicity(docs: DataFrame, severities: DataFrame, max_rows: int = 10000,
 
 def score_toxicity(docs: DataFrame, model: ordinal.OrdinalModel, least: int = 1, cut: float = 0.4) -> DataFrame:
     """docs with expected_severity, tail_prob and toxic; one row for each row, in which columns of these names are replaced. Null and empty texts are not toxic."""
-    told = docs.drop("expected_severity", "tail_prob", "toxic").withColumn("provara_graded", ordinal.graded(model, F.col("text"), least))
-    told = told.withColumns({"expected_severity": F.col("provara_graded.expected"), "tail_prob": F.col("provara_graded.tail")}).drop("provara_graded")
-    return told.withColumn("toxic", (F.length(F.coalesce("text", F.lit(""))) > 0) & (F.col("tail_prob") >= cut))
+    # columns of docs travel as one struct, so that only those of the results' names are replaced
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("expected_severity", "tail_prob", "toxic")))
+    told = docs.select(rest.alias("row"), F.length(F.coalesce("text", F.lit(""))).alias("n"), ordinal.graded(model, F.col("text"), least).alias("g"))
+    chosen = (F.col("n") > 0) & (F.col("g.tail") >= cut)
+    return told.select("row.*", F.col("g.expected").alias("expected_severity"), F.col("g.tail").alias("tail_prob"), chosen.alias("toxic"))
