@@ -27,7 +27,8 @@ def tokens(text: Column) -> Column:
     """Lower-case tokens without stopwords and outer dots or hyphens, of two or more characters."""
     raw = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9][a-z0-9+#.\-]*)"), F.lit(1))
     kept = F.filter(raw, lambda t: ~t.isin(*STOPWORDS))
-    return F.filter(F.transform(kept, lambda t: F.regexp_replace(t, r"^[.\-]+|[.\-]+$", "")), lambda t: F.length(t) > 1)
+    # the pattern begins with a letter or digit, so there is nothing to take off in front
+    return F.filter(F.transform(kept, lambda t: F.rtrim(t, F.lit(".-"))), lambda t: F.length(t) > 1)
 
 
 def bigrams(t: Column) -> Column:

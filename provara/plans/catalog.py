@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from provara.functions.numeric import recency
 from provara.operators import fusion, text
 from provara.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
-from provara.session import table
+from provara.session import spread, table
 
 
 
@@ -182,7 +182,7 @@ _TOKENS = rf"tok AS (SELECT doc_id, list_filter(list_transform(list_filter(regex
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 @query("T04_tokens", f"WITH {_TOKENS} SELECT doc_id, len(t)::BIGINT AS n, len(list_distinct(t))::BIGINT AS n_distinct, array_to_string(t[1:5], ' ') AS head FROM tok")

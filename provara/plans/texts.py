@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provara.operators import claims, matching, redaction, requirements, text
 from provara.plans.registry import query
-from provara.session import table
+from provara.session import spread, table
 
 #: Folds of the query below; operators take any table of them.
 ALIASES = {"de la": "del", "de": "of", "la": "the", "der": "the", "und": "and"}
@@ -16,7 +16,7 @@ _HORIZON = str(claims.FALLBACK_STAMP)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +222,21 @@ def _literal(spark: SparkSession, d: str) -> DataFrame:
     return matching.literal(chunks, forms(spark, d)).select("doc_id", "skill", "chunk_idx", "kind")
 
 
-@query("K04_fuzzy_terms")
+#: Similarity by the table of the longest common subsequence, for pairs whose edit distance does not rule them out.
+_NEAR_FORMS = r"""w AS (SELECT doc_id, line_no, line, list_filter(list_transform(list_filter(regexp_extract_all(lower(line), '[a-z0-9][a-z0-9+#.\-]*'), lambda t: t NOT IN ({stop})), lambda t: regexp_replace(t, '[.\-]+$', '')), lambda t: length(t) > 1) AS t FROM l),
+terms AS (SELECT doc_id, line_no, unnest(x) AS term, generate_subscripts(x, 1) - 1 AS place FROM (SELECT doc_id, line_no, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS x FROM w)),
+pairs AS (SELECT term, form FROM (SELECT DISTINCT term FROM terms) JOIN (SELECT DISTINCT form FROM forms) ON abs(length(term) - length(form)) <= floor(0.12::DOUBLE * (length(term) + length(form)) + 1e-9)
+  AND levenshtein(term, form) <= floor(0.12::DOUBLE * (length(term) + length(form)) + 1e-9)),
+near AS (SELECT term, form, round(200.0::DOUBLE * list_last(list_reduce(list_transform(range(1, length(term) + 1), lambda i: [i]), lambda last, i: list_reduce(list_transform(range(1, length(form) + 1), lambda j: [j]),
+    lambda done, j: list_append(done, CASE WHEN substr(form, j[1], 1) = substr(term, i[1], 1) THEN last[j[1]] + 1 ELSE greatest(done[j[1]], last[j[1] + 1]) END), [0::BIGINT]), list_transform(range(length(form) + 1), lambda z: 0::BIGINT)))
+  / (length(term) + length(form)), 6) AS similarity FROM pairs)"""
+
+
+@query("K04_fuzzy_terms", f"""WITH {_LINES}, {_FORMS}, {_NEAR_FORMS.format(stop=", ".join(f"'{w}'" for w in text.STOPWORDS))},
+lit AS (SELECT DISTINCT doc_id, skill FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(line), '[^a-z0-9]+'))) AS form FROM l) JOIN forms USING (form)),
+h AS (SELECT doc_id, skill, line_no, form, term, similarity, place FROM terms JOIN near USING (term) JOIN forms USING (form) WHERE similarity >= 88 AND (doc_id, skill) NOT IN (SELECT (doc_id, skill) FROM lit)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, skill ORDER BY line_no, form, similarity DESC, place, term) AS p FROM h)
+SELECT doc_id, skill, line_no AS chunk_idx, form, term, similarity FROM o WHERE p = 1""")
 def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
     chunks = _lines(spark, d).select("doc_id", F.col("line_no").alias("chunk_idx"), F.lower("line").alias("canonical"), text.tokens(F.col("line")).alias("tokens"))
     return matching.near_hits(chunks, forms(spark, d))

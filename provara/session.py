@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of files dealt over all cores where the files make fewer tasks than there are cores. Larger inputs are read as they are: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder that spark.checkpoint.dir names, so that all who read them see the same partitions; it goes when the application ends."""
     spark = df.sparkSession
