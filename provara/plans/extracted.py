@@ -142,6 +142,24 @@ def _tfidf(spark: SparkSession, d: str) -> DataFrame:
     return _term_sims(spark, d).select(F.col("key").alias("doc_id"), "skill", F.round("sim", 6).alias("sim"))
 
 
+@query("M02_latent_channel")
+def _latent(spark: SparkSession, d: str) -> DataFrame:
+    """Best chunk of each document and phrase, and the document's nearness to all phrases in one, in 32 latent dimensions."""
+    phrases = table(spark, d, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    asked = phrases.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    kinds = {
+        "chunk": text.chunks(_docs(spark, d)).select(F.struct("doc_id", "chunk_idx", F.lit(None).cast("long").alias("skill")).alias("key"), "text"),
+        "phrase": phrases.select(F.struct(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.col("item_id").cast("long").alias("skill")).alias("key"), "text"),
+        "asked": asked.select(F.struct(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.lit(-1).cast("long").alias("skill")).alias("key"), "text"),
+    }
+    vectors = semantic.reduced(kinds["chunk"].unionByName(kinds["phrase"]).unionByName(kinds["asked"]), 32, steps=3).select("key.*", "vector")
+    chunks = vectors.where("skill is null").select("doc_id", "chunk_idx", "vector")
+    sims = semantic.cosines(chunks, vectors.where("skill is not null").select("skill", F.col("vector").alias("phrase")))
+    near = semantic.docsim(sims.where("skill = -1"))
+    best = semantic.best_chunks(sims.where("skill >= 0")).join(near, "doc_id")
+    return best.select("doc_id", "skill", F.round("sem_raw", 4).alias("sem_raw"), "chunk_idx", F.round("docsim_raw", 4).alias("docsim_raw"))
+
+
 #: Vectors are chunks of 50 documents; a label's centroid is its skill's phrase.
 _DOT = "list_inner_product({}::DOUBLE[], {}::DOUBLE[])"
 _VECTORS = f"""v AS (SELECT vec_id % 50 AS doc_id, vec_id AS chunk_idx, label, embedding::DOUBLE[] AS e FROM embeddings),
