@@ -190,23 +190,32 @@ def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """v and root, the least vertex of its component, for the vertices of links (a, b).
 
-    In each round a vertex takes the least label of its neighbours, and then the label of its label.
+    In each round a vertex takes the least label of its neighbours, and then the label of its label; links
+    are then told by labels, each once, so that fewer vertices and links are left for the next. Labels of
+    all rounds are followed at the end.
     """
-    forth, back = (links.select(F.col(x).alias("v"), F.col(y).alias("w")) for x, y in ("ab", "ba"))
-    edges = shared.written(forth.unionByName(back).distinct())
-    degrees = shared.written(_counted(edges, "w"))
-    labels = shared.written(edges.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("root")))
-    while True:
-        others = labels.select(F.col("v").alias("w"), F.col("root").alias("w_root"))
-        near = shared.dealt(edges, others, ["w"], degrees).groupBy("v").agg(F.min("w_root").alias("near"))
-        met = labels.join(near, "v").select("v", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        met = shared.written(met)
-        ends = labels.select(F.col("v").alias("root"), F.col("root").alias("r_root"))
-        now = shared.dealt(met, ends, ["root"], _counted(met, "root"))
-        now = shared.written(now.select("v", "was", F.least("root", "r_root").alias("root")))
-        labels = now.select("v", "root")
-        if not now.where("root != was").limit(1).count():
-            return labels
+    left, rounds = shared.written(links.where("a != b").select("a", "b").distinct()), []
+    while left.limit(1).count():
+        forth, back = (left.select(F.col(x).alias("v"), F.col(y).alias("w")) for x, y in ("ab", "ba"))
+        first = forth.unionByName(back).groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("root"))
+        first = shared.written(first)
+        ends = first.select(F.col("v").alias("root"), F.col("root").alias("r_root"))
+        labels = shared.dealt(first, ends, ["root"], _counted(first, "root"))
+        labels = shared.written(labels.select("v", F.least("root", "r_root").alias("root")))
+        rounds.append(labels)
+        for x, y in ("ab", "ba"):
+            named = labels.select(F.col("v").alias(x), F.col("root").alias(f"{x}_root"))
+            left = shared.dealt(left, named, [x], _counted(left, x), by=F.xxhash64(y))
+        left = left.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b")
+        left = shared.written(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not rounds:
+        return links.select(F.col("a").alias("v"), F.col("a").alias("root")).limit(0)
+    roots = rounds[-1]
+    for labels in reversed(rounds[:-1]):
+        onward = roots.select(F.col("v").alias("root"), F.col("root").alias("r_root"))
+        met = shared.dealt(labels, onward, ["root"], _counted(labels, "root"), "left")
+        roots = shared.written(met.select("v", F.coalesce("r_root", "root").alias("root")))
+    return roots
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
