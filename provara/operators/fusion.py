@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provara.functions.numeric import CONFIG, calibrate, clip01, status
+from provara.operators import selection
 from provara.session import settled
 
 
@@ -62,32 +63,15 @@ def placed(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return out.withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_range", "_place", "_before")
 
 
-def _percentiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
-    """One row with p_<column>: exact percentiles with linear interpolation, read off the values' counts and ranges."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = settled(counts.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.sum("_n").alias("_all"))
-    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_all").over(up), F.lit(0)).alias("_before"), F.sum("_all").over(Window.partitionBy()).alias("_total"))
-    last = F.sum("_n").over(Window.partitionBy("_range").orderBy(column)) + F.col("_before")
-    spots = dealt.join(F.broadcast(offsets), "_range").withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
-    found = []
-    for s in shares:
-        at = F.lit(s) * (F.col("_total") - 1)
-        low, high = (F.max(F.when((F.col("_first") <= f(at)) & (f(at) < F.col("_last")), F.col(column))) for f in (F.floor, F.ceil))
-        part = F.max(at - F.floor(at))
-        found.append(low + part * (high - low))
-    return spots.agg(F.array(*found).alias(f"p_{column}"))
-
-
 def robust_norm(df: DataFrame, *columns: str) -> DataFrame:
-    """Adds norm_<c>: between the 5th and 95th percentile of the pool, 0.5 if they are equal. The limits are one row."""
-    out = df = settled(df)
+    """Adds norm_<c>: between the 5th and 95th percentile of the pool, 0.5 if they are equal. The limits are numbers in the plan."""
+    df = settled(df)
+    limits = selection.percentiles(df, {c: (0.05, 0.95) for c in columns})
+    out = df
     for c in columns:
-        out = out.join(F.broadcast(_percentiles(df, c, (0.05, 0.95))), F.lit(True))
-        low, high = F.get(f"p_{c}", F.lit(0)), F.get(f"p_{c}", F.lit(1))
+        low, high = (F.lit(x).cast("double") for x in limits[c])
         out = out.withColumn(f"norm_{c}", F.when(high - low < 1e-9, 0.5).otherwise(clip01((F.col(c) - low) / (high - low))))
-    return out.drop(*(f"p_{c}" for c in columns))
+    return out
 
 
 def primitives(cells: DataFrame, subs: DataFrame) -> DataFrame:

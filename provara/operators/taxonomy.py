@@ -7,48 +7,54 @@ tables; pairs of skills are made once and joined from then on.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provara.session import settled
+
 # Weeks by kind of relation, scale by difficulty, strength by status.
 BASE_WEEKS = {"identical": 0.0, "sibling": 1.0, "family": 1.5, "domain": 2.5, "discipline": 6.0, "unrelated": 9.0}
 DIFFICULTY_SCALE = {1: 0.5, 2: 0.75, 3: 1.0, 4: 1.4, 5: 1.9}
 HELD = {"MATCHED": 1.0, "INFERRED": 0.75, "WEAK": 0.4}
-#: Levels followed upward; a bound also on trees with a cycle.
-DEPTH = 12
 
 
 def _lookup(table: dict, key: Column, default: float) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), F.lit(default))
 
 
-def closure(skills: DataFrame, concepts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(concepts: DataFrame) -> DataFrame:
+    """concept, ancestor and level (1 is the parent) of all ancestors, each at its least level; a tree of any depth, and cycles.
+
+    Pointers are doubled: after step i every concept has its ancestors within 2**i levels and knows the one
+    at that distance, whose ancestors the next step takes over. A concept on a cycle is its own ancestor.
+    """
+    above = concepts.where("parent is not null and concept is not null").groupBy("concept").agg(F.min("parent").alias("parent"))
+    known = settled(above.select("concept", F.col("parent").alias("ancestor"), F.lit(1).alias("level")))
+    jump, reach, n = settled(above.select("concept", F.col("parent").alias("far"))), 1, known.count()
+    while jump.limit(1).count():
+        onward = known.select(F.col("concept").alias("far"), F.col("ancestor").alias("a"), (F.col("level") + reach).alias("l"))
+        more = jump.join(onward, "far").select("concept", F.col("a").alias("ancestor"), F.col("l").alias("level"))
+        known = settled(known.unionByName(more).groupBy("concept", "ancestor").agg(F.min("level").alias("level")))
+        if (now := known.count()) == n:  # all that is above has been met, cycles too
+            break
+        twice = jump.select(F.col("concept").alias("far"), F.col("far").alias("farther"))
+        jump, reach, n = settled(jump.join(twice, "far").select("concept", F.col("farther").alias("far"))), 2 * reach, now
+    return known
+
+
+def closure(skills: DataFrame, concepts: DataFrame) -> DataFrame:
     """skill, ancestor, level (0 is the parent); a concept counts at its least level."""
-    spark = skills.sparkSession
-    above, of = (f"provara_{uuid.uuid4().hex}" for _ in range(2))
-    skills.select("skill", F.col("parent").alias("concept")).createOrReplaceTempView(of)
-    concepts.select("concept", "parent").createOrReplaceTempView(above)
-    try:
-        walk = spark.sql(
-            f"""WITH RECURSIVE up (skill, ancestor, level) AS (
-            SELECT skill, concept, 0 FROM {of} WHERE concept IS NOT NULL
-            UNION ALL SELECT up.skill, c.parent, up.level + 1 FROM up JOIN {above} c ON up.ancestor = c.concept
-            WHERE c.parent IS NOT NULL AND up.level < {depth})
-            SELECT skill, ancestor, level FROM up"""
-        )
-    finally:  # the names are in the plan by now
-        spark.catalog.dropTempView(of)
-        spark.catalog.dropTempView(above)
+    own = skills.where("parent is not null").select("skill", F.col("parent").alias("concept"))
+    up = own.join(ancestors(concepts), "concept").select("skill", "ancestor", "level")
+    walk = own.select("skill", F.col("concept").alias("ancestor"), F.lit(0).alias("level")).unionByName(up)
     return walk.groupBy("skill", "ancestor").agg(F.min("level").alias("level"))
 
 
-def concept_depths(concepts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """concept and its distance from the root."""
-    up = closure(concepts.select(F.col("concept").alias("skill"), "parent"), concepts, depth)
-    return concepts.select("concept").join(up.groupBy(F.col("skill").alias("concept")).agg(F.count(F.lit(1)).alias("depth")), "concept", "left").select("concept", F.coalesce("depth", F.lit(0)).alias("depth"))
+def concept_depths(concepts: DataFrame) -> DataFrame:
+    """concept and how many concepts are above it."""
+    above = ancestors(concepts).groupBy("concept").agg(F.count(F.lit(1)).alias("depth"))
+    return concepts.select("concept").join(above, "concept", "left").select("concept", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def relations(skills: DataFrame, concepts: DataFrame) -> DataFrame:
