@@ -96,15 +96,16 @@ def scored(p: DataFrame, alpha: float | Column = 0.5, gated: bool = False) -> Da
 
 
 def ranked(p: DataFrame, alpha: float = 0.5, gated: bool = False) -> DataFrame:
-    """Scores, ranks of both channels (ties by doc_id), reciprocal-rank fusion and its rank, the flag and the final rank.
+    """Scores, ranks of both channels (ties by doc_id), reciprocal-rank fusion and its rank, the flag and the final rank (ties by name, where p has one, then doc_id).
 
     Ranks are over the whole pool: only narrow columns are put in order, in ranges (placed).
     """
     c = CONFIG
-    s = scored(p, alpha, gated).select("doc_id", "k", "m", "score", "lex_cov_raw", "sem_cov", "req_coverage")
+    by_name = [F.coalesce("name", F.lit(""))] if "name" in p.columns else []
+    s = scored(p, alpha, gated).select("doc_id", "k", "m", "score", "lex_cov_raw", "sem_cov", "req_coverage", *(["name"] if by_name else []))
     s = placed(placed(s, "rank_k", F.desc("k"), F.col("doc_id")), "rank_m", F.desc("m"), F.col("doc_id"))
     s = s.withColumn("rrf", F.lit(1.0) / (c.rrf_k + F.col("rank_k")) + F.lit(1.0) / (c.rrf_k + F.col("rank_m")))
-    s = placed(placed(s, "rank_rrf", F.desc("rrf"), F.col("doc_id")), "rank", F.desc("score"), F.col("doc_id"))
+    s = placed(placed(s, "rank_rrf", F.desc("rrf"), F.col("doc_id")), "rank", F.desc("score"), *by_name, F.col("doc_id"))
     s = s.join(F.broadcast(s.agg(F.count(F.lit(1)).alias("_pool"))), F.lit(True))
     delta = F.col("rank_k") - F.col("rank_m")
     ratio = F.abs(delta) / F.greatest("_pool", F.lit(1))

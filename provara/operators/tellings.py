@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provara.functions.numeric import CONFIG
+from provara.operators import fusion
+from provara.operators.text import listed, trimmed
 
 # Cuts and words of the sentences.
 FULL_MONTHS, WHOLE_WORTH = 12, 0.995
@@ -149,3 +151,86 @@ def suggestions(first: str, second: str | None) -> list[str]:
     """Questions to put to a pool whose first two documents have these names."""
     second = second or first
     return [f"Why is {first} ranked above {second}?", f"Why did {first} rank first?", f"What is {second} missing?", "Who knows Docker?", "Show me the top 5"]
+
+
+#: How many names a sentence lists, passages are quoted, and below what quality a text's reading is doubted.
+MOST_STATED, MOST_WEAK, MOST_COMPARED, MOST_QUOTED, LEAST_QUALITY = 8, 5, 6, 3, 0.5
+
+
+def _told(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def _percent(x: Column) -> Column:
+    return F.floor(100 * x + 1e-9).cast("string")
+
+
+def explanations(cells: DataFrame, ranked: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """doc_id, headline and bullets (sentences) of every document of ranked.
+
+    cells: as in fusion.py, with kind (near: matched through another spelling) and text (the cited passage), both
+    may be null; quality: doc_id, quality of the text's reading. Lists are in order of weight, coverage and name.
+    """
+    own = fusion.by_status(cells, "MATCHED", "INFERRED", "WEAK", "MISSING")
+    of = lambda c, *more: F.sort_array(F.collect_list(F.when(c, F.struct("place", *more, "skill"))))
+    s, required = F.col("status"), F.col("tier") == "REQUIRED"
+    best = F.sort_array(F.collect_list(F.when((s == "MATCHED") & required, F.struct((-F.col("sem_raw")).alias("far"), "place", "skill"))))
+    g = own.groupBy("doc_id").agg(
+        F.count_if(required).alias("asked"), F.count_if(required & s.isin("MATCHED", "INFERRED")).alias("met"), best.alias("best"),
+        of(s == "MATCHED").alias("matched"), of((s == "MATCHED") & (F.col("kind") == "near")).alias("near"),
+        of(s == "INFERRED", "sem_raw", "text").alias("inferred"), of((s == "MISSING") & required).alias("missing"), of(s == "WEAK").alias("weak"),
+    )
+    r = ranked.join(g, "doc_id", "left").join(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("pool"))), F.lit(True))
+    r = r.withColumn("quality", F.lit(None).cast("double")) if quality is None else r.join(quality.select("doc_id", "quality"), "doc_id", "left")
+    names = lambda c: F.transform(c, lambda x: x["skill"].cast("string"))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    asked = F.coalesce("asked", F.lit(0))
+    first = _told("Ranked #", F.col("rank"), " of ", F.col("pool"), " with ", F.format_string("%.2f", "score"), " points. Meets ", F.coalesce("met", F.lit(0)), " of ", asked, " required ", plural(asked, "skill"))
+    above = F.when(count("best") > 0, F.concat(F.lit(", above all "), listed(names(F.slice("best", 1, 3))))).otherwise("")
+    respelt = F.when(count("near") > 0, _told(" Through another spelling: ", listed(names("near")), ".")).otherwise("")
+    stated = F.when(count("matched") > 0, _told("Names ", count("matched"), " ", plural(count("matched"), "skill"), ": ", listed(names("matched"), limit=MOST_STATED), ".", respelt))
+    quote = lambda x: F.when(x["text"].isNull(), ".").otherwise(F.concat(F.lit(": “"), trimmed(x["text"]), F.lit("”")))
+    quoted = F.transform(F.slice("inferred", 1, MOST_QUOTED), lambda x: _told(x["skill"], " is not named, but a passage comes near (", _percent(x["sem_raw"]), "%)", quote(x)))
+    gaps = F.when(count("missing") > 0, _told("No evidence of ", count("missing"), " required ", plural(count("missing"), "skill"), ": ", listed(names("missing")), "."))
+    weak = F.when(count("weak") > 0, _told("Comes near only: ", listed(names("weak"), limit=MOST_WEAK), "."))
+    doubt = F.when(F.col("quality") < LEAST_QUALITY, _told("The text was read badly (", _percent(F.col("quality")), "%): look at the file itself."))
+    line = channel_line()
+    no_list = F.array().cast("array<string>")
+    bullets = F.array_compact(F.concat(F.array(stated), F.coalesce(quoted, no_list), F.array(gaps, weak, line, doubt)))
+    return r.select("doc_id", F.concat(first, above, F.lit(".")).alias("headline"), bullets.alias("bullets"))
+
+
+def comparison(cells: DataFrame, ranked: DataFrame, a: int, b: int) -> DataFrame:
+    """One row: winner, loser (doc_id), points, and lines, of two documents of ranked; no row if one of them is missing or they are the same.
+
+    The winner has the higher score; of equals it is a.
+    """
+    two = ranked.where(F.col("doc_id").isin(a, b))
+    row = F.struct(*(F.col(c) for c in ("doc_id", "score", "k", "m", "req_coverage", "flag", "rank_k", "rank_m")))
+    pair = two.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), (F.col("doc_id") != a).alias("o"), row.alias("r")))).alias("p")).where(F.size("p") == 2)
+    pair = pair.select(F.col("p")[0]["r"].alias("w"), F.col("p")[1]["r"].alias("l"))
+    held = F.col("status").isin("MATCHED", "INFERRED")
+    own = fusion.by_status(cells.where(F.col("doc_id").isin(a, b)), "MATCHED", "INFERRED", "WEAK", "MISSING")
+    # cells of two documents: as many as there are requirements
+    has = lambda i: F.coalesce(F.bool_or(held & (F.col("doc_id") == i)), F.lit(False))
+    each = own.groupBy("skill").agg(F.max("weight").alias("weight"), has(a).alias("in_a"), has(b).alias("in_b"))
+    only = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct((-F.col("weight")).alias("far"), F.lower(F.col("skill").cast("string")).alias("low"), F.col("skill").cast("string").alias("s"))))), lambda x: x["s"])
+    sides = each.agg(only(F.col("in_a") & ~F.col("in_b")).alias("a_only"), only(F.col("in_b") & ~F.col("in_a")).alias("b_only"))
+    d = pair.join(F.broadcast(sides), F.lit(True))
+    first = F.col("w.doc_id") == a
+    w_only, l_only = F.when(first, F.col("a_only")).otherwise(F.col("b_only")), F.when(first, F.col("b_only")).otherwise(F.col("a_only"))
+    two_digits = lambda c: F.format_string("%.2f", F.round(c, 2))
+    delta = lambda c: F.format_string("%+.2f", F.round(F.col(f"w.{c}") - F.col(f"l.{c}"), 2))
+    channel = lambda c: _told(two_digits(F.col(f"w.{c}")), " to ", two_digits(F.col(f"l.{c}")), " (", delta(c), ")")
+    covers = lambda x, names: F.when(F.size(names) > 0, _told("Only ", F.col(f"{x}.doc_id"), " covers ", listed(names, limit=MOST_COMPARED), "."))
+    noted = lambda x: F.when(F.col(f"{x}.flag") == "HIDDEN_GEM", _told(F.col(f"{x}.doc_id"), " is a hidden gem: #", F.col(f"{x}.rank_m"), " by meaning, #", F.col(f"{x}.rank_k"), " by words.")).when(F.col(f"{x}.flag") == "SURFACE_MATCH", _told(F.col(f"{x}.doc_id"), " is a surface match: named, hardly shown."))
+    points = F.round(F.col("w.score") - F.col("l.score"), 2)
+    lines = F.array_compact(F.array(
+        _told(F.col("w.doc_id"), " stands above ", F.col("l.doc_id"), " by ", F.format_string("%.2f", points), " points (", F.format_string("%.2f", "w.score"), " to ", F.format_string("%.2f", "l.score"), ")."),
+        _told("By words ", channel("k"), ", by meaning ", channel("m"), "."),
+        covers("w", w_only), covers("l", l_only),
+        F.when((F.size("a_only") == 0) & (F.size("b_only") == 0), "Both cover the same skills; the evidence differs in depth."),
+        _told("Required skills covered: ", _percent(F.col("w.req_coverage")), "% to ", _percent(F.col("l.req_coverage")), "%."),
+        noted("w"), noted("l"),
+    ))
+    return d.select(F.col("w.doc_id").alias("winner"), F.col("l.doc_id").alias("loser"), points.alias("points"), lines.alias("lines"))
