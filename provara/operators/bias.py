@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provara.operators.views import inclusivity
+
 # The order of severities, and years asked for.
 SEVERITIES = ("critical", "high", "medium", "low")
 YEARS = r"(\d+)\+?\s*years?(?:\s+of)?\s+experience"
@@ -80,10 +82,58 @@ def one_for_each_span(findings: DataFrame) -> DataFrame:
 
     The order is severity, then falling impact_count, then seq.
     """
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0)), F.lit(9))
+    rank = _severity_rank(F.col("severity"))
     columns = [F.col(c) for c in findings.columns]
     ordered = F.sort_array(F.collect_list(F.struct(rank.alias("_r"), (-F.col("impact_count")).alias("_i"), F.col("seq").alias("_s"), F.struct(*columns).alias("f"))))
     per_text = findings.groupBy("doc_id").agg(F.transform(ordered, lambda x: x["f"]).alias("all"))
     free = lambda kept, f: (f["start"] < 0) | ~F.exists(kept, lambda k: (k["start"] >= 0) & (f["start"] < k["end"]) & (k["start"] < f["end"]))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, f: F.when(free(kept, f), F.array_append(kept, f)).otherwise(kept))
     return per_text.select(F.inline(kept))
+
+
+def _severity_rank(severity: Column) -> Column:
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity), F.lit(0)), F.lit(9))
+
+
+def findings(docs: DataFrame, lexicon: Sequence[dict], junior: Sequence[str], months: DataFrame, impact: DataFrame | None = None) -> DataFrame:
+    """doc_id, seq, category, severity, impact_count, start, end and matched of all layers, one finding a span.
+
+    docs: doc_id, text (null counts as empty); lexicon, junior and months as above; impact: doc_id, place, skill,
+    excluded and pool, how many of a pool a requirement shuts out (a finding without a span, high if over half).
+    seq tells the order of equals: the lexicon, seniority, then impact.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = len(lexicon)
+    columns = ("doc_id", "seq", "category", "severity", "impact_count", "start", "end", "matched")
+    out = lexicon_findings(docs, lexicon).withColumn("impact_count", F.lit(0).cast("long")).select(*columns)
+    years = seniority(docs, months, junior)
+    years = years.withColumns({"seq": F.lit(n), "category": F.lit("seniority"), "severity": F.lit("critical"), "impact_count": F.col("impact_count").cast("long")})
+    out = out.unionByName(years.select(*columns))
+    if impact is not None:
+        severity = F.when(F.col("excluded") > F.floor(F.col("pool") / 2), "high").otherwise("medium")
+        shut = impact.where("excluded > 0").select(
+            "doc_id", (F.col("place") + n + 1).cast("int").alias("seq"), F.lit("impact").alias("category"), severity.alias("severity"),
+            F.col("excluded").cast("long").alias("impact_count"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.col("skill").alias("matched"),
+        )
+        out = out.unionByName(shut)
+    return one_for_each_span(out)
+
+
+def report(docs: DataFrame, found: DataFrame, junior: Sequence[str]) -> DataFrame:
+    """doc_id, score, n_findings, is_junior and summary of every document of docs (doc_id, text) from its findings()."""
+    s = F.col("severity")
+    worst = F.min(F.struct(_severity_rank(s).alias("r"), (-F.col("impact_count")).alias("i"), "seq", "category", "matched"))
+    f = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(s == "critical").alias("critical"), F.count_if(s == "high").alias("high"), worst.alias("worst")
+    )
+    f = f.join(inclusivity(found), "doc_id")
+    d = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_low")).join(f, "doc_id", "left")
+    part = lambda c, word: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {word}.")))
+    head = F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " finding").otherwise(" findings"), F.lit(", score "), F.col("score").cast("string"), F.lit(" of 100."))
+    worst = F.concat(F.lit("The gravest, "), F.col("worst.category"), F.lit(": “"), F.col("worst.matched"), F.lit("”."))
+    told = F.concat_ws(" ", head, part("critical", "critical"), part("high", "of high severity"), worst)
+    is_junior = F.exists(F.array(*map(F.lit, junior)), lambda m: F.contains(F.col("_low"), m))
+    return d.select(
+        "doc_id", F.coalesce("score", F.lit(100).cast("long")).alias("score"), F.coalesce("n", F.lit(0)).alias("n_findings"),
+        is_junior.alias("is_junior"), F.when(F.col("n").isNull(), "Nothing found in this text's wording.").otherwise(told).alias("summary"),
+    )

@@ -296,16 +296,20 @@ def _lexicon(spark: SparkSession, d: str) -> DataFrame:
 _JOBS = "jobs AS (SELECT event_id AS doc_id, CASE WHEN event_id % 2 = 0 THEN 'Internship. ' ELSE 'Senior role. ' END || 'needs ' || (event_id % 7) || CASE WHEN event_id % 3 = 0 THEN '+' ELSE '' END || ' years of experience' AS text FROM events)"
 
 
+def jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Job texts as above: doc_id and text."""
+    e = F.col("event_id")
+    opening = F.when(e % 2 == 0, "Internship. ").otherwise("Senior role. ")
+    job = F.concat(opening, F.lit("needs "), (e % 7).cast("string"), F.when(e % 3 == 0, "+").otherwise(""), F.lit(" years of experience"))
+    return table(spark, d, "events").select(e.alias("doc_id"), job.alias("text"))
+
+
 @query("B03_seniority", f"""WITH {_JOBS}, y AS (SELECT doc_id, text, regexp_extract(text, '([0-9]+)\\+?\\s*years?(?:\\s+of)?\\s+experience') AS matched FROM jobs WHERE contains(lower(text), 'intern')),
 z AS (SELECT *, regexp_extract(matched, '^[0-9]+')::BIGINT AS years FROM y WHERE matched <> ''), h AS (SELECT l_quantity::INT AS months, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT doc_id, strpos(text, matched)::INT - 1 AS start, matched, years, coalesce((SELECT sum(n) FROM h WHERE months < years * 12), 0)::BIGINT AS impact_count FROM z WHERE years >= 2""")
 def _seniority(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    opening = F.when(e % 2 == 0, "Internship. ").otherwise("Senior role. ")
-    job = F.concat(opening, F.lit("needs "), (e % 7).cast("string"), F.when(e % 3 == 0, "+").otherwise(""), F.lit(" years of experience"))
-    jobs = table(spark, d, "events").select(e.alias("doc_id"), job.alias("text"))
     months = table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("months"))
-    return bias.seniority(jobs, months, ("intern",)).select("doc_id", "start", "matched", "years", "impact_count")
+    return bias.seniority(jobs(spark, d), months, ("intern",)).select("doc_id", "start", "matched", "years", "impact_count")
 
 
 @query("B05_one_for_each_span")
