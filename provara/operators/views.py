@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from provara.functions.numeric import CONFIG
 from provara.operators import fusion
+from provara.operators.text import ascii_edges
 from provara.session import settled
 
 # Penalties of findings by severity; any other severity counts as low.
@@ -76,7 +77,7 @@ def who_has(cells: DataFrame, ranked: DataFrame, skill: str) -> DataFrame:
 
 def top_asked(question: Column, pool: Column) -> Column:
     """How many a question asks for: its number, else 3, at least 1 and at most the pool."""
-    n = F.regexp_extract(F.lower(question), r"\btop\s*(\d{1,9})", 1)
+    n = F.regexp_extract(F.lower(question), ascii_edges(r"\btop\s*(\d{1,9})"), 1)
     return F.least(F.greatest(F.when(n == "", 3).otherwise(n.try_cast("int")), F.lit(1)), pool.cast("int"))
 
 

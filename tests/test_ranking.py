@@ -4,8 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from provara.operators import fusion, text
+from provara.operators import fusion, text, views
 from provara.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,13 @@ def test_query_matches_sql(spark, name):
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
     assert a[cols].sort_values(cols).astype(str).values.tolist() == b[cols].sort_values(cols).astype(str).values.tolist()
+
+
+def test_intents_know_ascii_word_edges(spark):
+    texts = ["erchbestä", "die bestä erch", "übest pf", "asbest", "the best.", "Top 3é", "étop 3", "topé", None, "why_not", "warum whyß"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sql = "CASE " + " ".join("WHEN regexp_matches(lower(text), '{}') THEN '{}'".format(p.replace("'", "''"), n) for n, p in text.INTENTS) + " ELSE 'FALLBACK' END"
+    top = r"coalesce(regexp_extract(lower(text), '\btop\s*(\d{1,9})', 1), '')"
+    want = duckdb.connect().execute(f"select {sql}, CASE WHEN {top} = '' THEN 3 ELSE {top}::INT END from (select unnest($1) as text)", [texts]).fetchall()
+    got = df.select(text.intent(F.col("text")), views.top_asked(F.coalesce("text", F.lit("")), F.lit(100))).collect()
+    assert [tuple(r) for r in got] == want
