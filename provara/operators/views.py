@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provara.functions.numeric import CONFIG
+from provara.functions.numeric import CONFIG, half_even, rounded
 from provara.operators import fusion
 from provara.operators.text import ascii_edges
 from provara.session import settled
@@ -47,7 +47,7 @@ def roadmap(cells: DataFrame, p: DataFrame, steps: int = 3) -> DataFrame:
     total = cells.groupBy("doc_id").agg(F.sum("weight").alias("all_w"))
     gaps = fusion.top_gaps(cells).select("doc_id", "skill", "tier", "weight", "lex_eff").join(total, "doc_id").join(now.withColumnRenamed("score", "was"), "doc_id")
     gain = F.lit(1 - CONFIG.k_bm25) * F.col("weight") * (1 - F.col("lex_eff")) / F.col("all_w")
-    trials = gaps.withColumn("score", F.bround(F.lit(50.0) * (F.round(F.col("k") + gain, 9) + F.col("m")), 2)).select("doc_id", "skill", "tier", "rank", "was", "score")
+    trials = gaps.withColumn("score", half_even(F.lit(50.0) * (rounded(F.col("k") + gain, 9) + F.col("m")), 2)).select("doc_id", "skill", "tier", "rank", "was", "score")
     t = places(now.select("doc_id", "score"), trials)
     t = t.withColumns({"places": F.col("rank") - F.col("new_rank"), "points": F.round(F.col("score") - F.col("was"), 2)})
     order = Window.partitionBy("doc_id").orderBy(F.desc("places"), F.desc("points"), F.col("tier") != "REQUIRED", "skill")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from provara.functions.numeric import half_even, rounded
 from provara.operators import fusion, text, views
 from provara.plans import catalog
 
@@ -42,6 +43,25 @@ def test_query_matches_sql(spark, name):
     assert a[cols].sort_values(cols).astype(str).values.tolist() == b[cols].sort_values(cols).astype(str).values.tolist()
 
 
+def test_halves_of_the_pool_are_rounded_as_in_sql(spark, tmp_path):
+    sums = [16406, 16130, 16470, 16150]  # of 640 quantities: the mean over 50 ends in a half at six digits
+    rows = [(i, float(q // 640 + (j < q % 640)), 0.1) for i, q in enumerate(sums) for j in range(640)]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i,) for i in range(len(sums))], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = [(r.docsim_raw, r.bm25_raw) for r in catalog.subs(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    c = duckdb.connect()
+    want = c.execute("select round(q / 640 / 50, 6), round(64::double / 100000, 4) from (select unnest($1) as q)", [sums]).fetchall()
+    assert got == want
+
+
+def test_numbers_are_rounded_as_in_sql(spark):
+    x = [i / 2000 for i in range(1, 4000, 2)]
+    x += [v * (1 + 3e-16) for v in x] + [-v for v in x]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select(rounded(F.col("x"), 2), half_even(F.col("x"), 2)).collect()
+    want = duckdb.connect().execute("select round(x, 2), round_even(x, 2) from (select unnest($1::double[]) as x)", [x]).fetchall()
+    assert [tuple(r) for r in got] == want
+
+
 def test_intents_know_ascii_word_edges(spark):
     texts = ["erchbestä", "die bestä erch", "übest pf", "asbest", "the best.", "Top 3é", "étop 3", "topé", None, "why_not", "warum whyß"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
