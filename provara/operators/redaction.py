@@ -32,7 +32,16 @@ KINDS = tuple(dict.fromkeys(kind for kind, *_ in CATEGORIES)) + ("name",)
 
 SCHEMA = StructType([StructField("text", StringType()), StructField("spans", ArrayType(StructType([StructField("category", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))])
 _TYPE = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("category", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
-_COMPILED = [(kind, re.compile(pattern, flags)) for kind, pattern, flags, _ in CATEGORIES]
+# of what a match of a pattern must hold one, in small letters; texts without are not searched by the pattern itself
+MUST_HOLD = {
+    CATEGORIES[0][1]: ("@",),
+    CATEGORIES[1][1]: ("linkedin.com/in/",),
+    CATEGORIES[4][1]: ("universit", "institute", "college", "polytechnic", "school of engineering", "academy", "vidyalaya", "vidyapeeth"),
+}
+_CODE_HOST = "github.com/"
+#: Letters that patterns take for i, s and k but lower() does not.
+_ODD = "İıſK"
+_COMPILED = [(kind, re.compile(pattern, flags), MUST_HOLD.get(pattern, ("",))) for kind, pattern, flags, _ in CATEGORIES]
 _CODE_URL, _YEAR_SPAN = re.compile(CODE_URL, re.I), re.compile(YEAR_SPAN, re.I)
 
 
@@ -43,14 +52,16 @@ def _candidates(text: str, name: str | None, education: tuple[int, int] | None)
         yield from ((low + m.start(), low + m.end(), "grad_year", True) for m in _YEAR_SPAN.finditer(text[low:high]))
     for part in filter(lambda p: len(p) >= 3, [name, *name.split()] if name else []):
         yield from ((*m.span(), "name", False) for m in re.finditer(rf"(?<!\w){re.escape(part)}(?!\w)", text, re.I))
-    for kind, pattern in _COMPILED:
-        yield from ((*m.span(), kind, False) for m in pattern.finditer(text))
+    small, odd = text.lower(), any(x in text for x in _ODD)
+    for kind, pattern, held in _COMPILED:
+        if odd or any(h in small for h in held):
+            yield from ((*m.span(), kind, False) for m in pattern.finditer(text))
 
 
 def redact_text(text: str | None, name: str | None = None, education: tuple[int, int] | None = None) -> dict:
     """The text with placeholders, and the spans of the given text that they stand for: the earliest first, of equal starts the longest."""
     text = text or ""
-    shelter = [m.span() for m in _CODE_URL.finditer(text)]
+    shelter = [m.span() for m in _CODE_URL.finditer(text)] if _CODE_HOST in text.lower() or any(x in text for x in _ODD) else []
     hits = [(a, b, kind) for a, b, kind, free in _candidates(text, name, education) if free or not any(a < d and c < b for c, d in shelter)]
     hits.sort(key=lambda h: (h[0], -h[1]))
     out, spans, done = [], [], 0
@@ -76,7 +87,8 @@ def redacted(text: Column, name: Column | None = None, start: Column | None = No
 
 def masked(text: Column, name: Column | None = None) -> Column:
     """For display: addresses of code go as well."""
-    return redacted(F.regexp_replace(text, f"(?Ui){CODE_URL}", "[PORTFOLIO]"), name)["text"]
+    shown = F.when(text.rlike(r"(?Ui)github\.com/"), F.regexp_replace(text, f"(?Ui){CODE_URL}", "[PORTFOLIO]")).otherwise(text)
+    return redacted(shown, name)["text"]
 
 
 def audit(spans: Column) -> Column:

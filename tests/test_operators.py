@@ -164,3 +164,15 @@ def test_no_task_has_more_text_than_its_share(spark):
     sizes = [sum(len(r.text or "") for r in p) for p in dealt.rdd.glom().collect()]
     assert len(sizes) == 20 and max(sizes) <= 200 and sum(sizes) == 2000
     assert bounded(df.limit(0), "text").count() == 0
+
+
+def test_redaction_searches_each_text_that_can_match():
+    parts = ["12 Long Street", "Univerſity of Bonn", "COLLEGE", "ınstitute", "a@b.co.uk", "lınkedin.com/in/x", "LinkedIn.com/in/ab-c/", "GitHub.com/u/r", "gıthub.com/a@b.org", "GİTHUB.com/12345678", "UNIVERSITÄT", "vidyapeeth", "tea"]
+    for t in [*parts, *(f"{a} {b}" for a in parts for b in parts)]:
+        hits = [(m.start(), -m.end(), kind) for kind, pattern, _ in redaction._COMPILED for m in pattern.finditer(t)]
+        shelter = [m.span() for m in redaction._CODE_URL.finditer(t)]
+        want, done = [], 0
+        for a, z, kind in sorted((h for h in hits if not any(h[0] < d and c < -h[1] for c, d in shelter)), key=lambda h: h[:2]):
+            if a >= done:
+                want, done = [*want, (kind, a, -z)], -z
+        assert [(s["category"], s["start"], s["end"]) for s in redaction.redact_text(t)["spans"]] == want
