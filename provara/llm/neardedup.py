@@ -11,7 +11,10 @@ their weighted Jaccard similarity.
 
 28 bands of 5 places miss a pair at similarity 0.8 with probability 1.5e-5, and
 fewer above. Documents of equal words (128 bits of them) are one vertex. In each
-bucket all vertices are first compared with the least one. Buckets that then
+bucket all vertices are first compared with the one that meets most others. Members
+of buckets carry how many of their shingles fall in each of CELLS ranges of hashes:
+two texts have no more in common than the lesser counts add up to, so pairs that
+these show to be below ``least`` are never made. Buckets that then
 still hold several components are compared with further members picked by hash.
 What is still open is compared between components without a further miss: small
 buckets in full, the members of all larger ones by an exact join on the rarest
@@ -52,6 +55,8 @@ HUBS, HUB_ROUNDS = 3, 2
 SMALL = 16
 #: Shingles that so many bags have count as frequent, and at most so many of them are ranked by it; neither has a bearing on results.
 COMMON, RANKED = 8, 100_000
+#: Ranges of hashes in which a bag's shingles are counted, up to MANY in one byte; MANY stands for any more.
+CELLS, MANY = 128, 255
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,7 +144,7 @@ def _whole(s: Slice, words: np.ndarray, second: int) -> np.ndarray:
 
 
 def _multisets(size: int):
-    """v and its shingles as sorted distinct values, the n-th of a kind made distinct by n."""
+    """v, its shingles as sorted distinct values, the n-th of a kind made distinct by n, and how many are in each of CELLS ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,12 +156,32 @@ def _multisets(size: int):
                 order = np.lexsort((value, row))
                 cut = np.searchsorted(row, np.arange(len(s.rows) + 1))
                 held = [value[order[a:z]].tobytes() for a, z in zip(cut, cut[1:], strict=False)]
+                cell = row * CELLS + (value >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+                cells = np.minimum(np.bincount(cell, minlength=len(s.rows) * CELLS), MANY).astype(np.uint8).reshape(-1, CELLS)
                 own = b.column("v").slice(s.rows.start, len(s.rows))
-                yield pa.RecordBatch.from_arrays([own, pa.array(held, pa.binary())], ["v", "bag"])
+                yield pa.RecordBatch.from_arrays([own, pa.array(held, pa.binary()), pa.array([c.tobytes() for c in cells], pa.binary())], ["v", "bag", "cells"])
 
     return run
 
 
+def _may_be_alike(p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Whether counts by cell (row x cell) leave it open that the similarity is ``least`` or more."""
+    both, sizes = np.minimum(p, q).sum(axis=1, dtype=np.int64), p.sum(axis=1, dtype=np.int64) + q.sum(axis=1, dtype=np.int64)
+    return ((p == MANY) | (q == MANY)).any(axis=1) | (both >= least * (sizes - both) - 1e-9)
+
+
+def _possible(pairs: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (v, w, cells_v, cells_w) that may be alike, each once, as a < b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, CELLS) for c in ("cells_v", "cells_w"))
+            yield b.select(["v", "w"]).filter(pa.array(_may_be_alike(p, q, least), pa.bool_()))
+
+    found = pairs.select("v", "w", "cells_v", "cells_w").mapInArrow(run, "v long, w long")
+    return found.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,29 +244,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, i, v, root and n (members) of the buckets whose members are of more than one component."""
-    placed = members.select("band", "i", "v").join(roots, "v", "left")
-    placed = shared.written(placed.select("band", "i", "v", F.coalesce("root", "v").alias("root")))
+    """band, v, cells, root and n (members) of the buckets whose members are of more than one component."""
+    placed = members.select("band", "v", "cells").join(roots, "v", "left")
+    placed = shared.written(placed.select("band", "v", "cells", F.coalesce("root", "v").alias("root")))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
     mixed = shared.written(mixed.where("lo != hi").select("band", "n"))
     return shared.dealt(placed, mixed, ["band"], mixed)
 
 
-def _hub_pairs(open_: DataFrame, t: int) -> DataFrame:
-    """Pairs (a < b) of some members of each bucket, picked by hash, with its members of other components."""
+def _hub_pairs(open_: DataFrame, t: int, least: float) -> DataFrame:
+    """Pairs (a < b) of some members of each bucket, picked by hash, with its members of other components, that may be alike."""
     places = range(t * HUBS, t * HUBS + HUBS)
     picked = open_.groupBy("band").agg(
-        *(F.min(F.struct(F.xxhash64("v", F.lit(j)), "v", "root")).alias(f"h{j}") for j in places),
+        *(F.min(F.struct(F.xxhash64("v", F.lit(j)), "v", "root", "cells")).alias(f"h{j}") for j in places),
         F.count(F.lit(1)).alias("n"),
     )
-    hub = [F.struct(F.col(f"h{j}.v").alias("hub"), F.col(f"h{j}.root").alias("hub_root")) for j in places]
+    hub = [F.struct(F.col(f"h{j}.v").alias("hub"), F.col(f"h{j}.root").alias("hub_root"), F.col(f"h{j}.cells").alias("hub_cells")) for j in places]
     hubs = shared.written(picked.select("band", "n", F.array_distinct(F.array(*hub)).alias("hubs")))
-    # a member meets much the same hubs in many buckets: they are gathered by member before pairs are made
-    met = shared.dealt(open_, hubs.drop("n"), ["band"], hubs)
-    met = met.select("v", F.expr("transform(filter(hubs, h -> h.hub_root != root), h -> h.hub)").alias("hubs"))
-    each = met.where(F.size("hubs") > 0).groupBy("v").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
-    each = each.select("v", F.explode("hubs").alias("hub"))
-    return each.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
+    met = shared.dealt(open_.drop("n"), hubs.drop("n"), ["band"], hubs)
+    met = met.select("v", "cells", F.explode(F.expr("filter(hubs, h -> h.hub_root != root)")).alias("h"))
+    return _possible(met.select("v", F.col("h.hub").alias("w"), F.col("cells").alias("cells_v"), F.col("h.hub_cells").alias("cells_w")), least)
 
 
 def _frequent(bags: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +282,11 @@ def _frequent(bags: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(least: float, common: np.ndarray, frequency: np.ndarray):
-    """v, root, n (size of the bag) and its first shingles, rare ones first, with their places; first: whether the place counts for the smaller bag of a pair."""
+    """v, root, cells, n (size of the bag) and its first shingles, rare ones first, with their places; first: whether the place counts for the smaller bag of a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, root, n, value, place, first = [], [], [], [], [], []
+            v, root, n, value, place, first, row = [], [], [], [], [], [], []
             for v_, root_, bag in zip(b.column("v").to_pylist(), b.column("root").to_pylist(), b.column("bag"), strict=True):
                 x = np.frombuffer(bag.as_py(), np.uint64)
                 often = np.zeros(len(x), np.int64)
@@ -275,23 +297,24 @@ def _prefixes(least: float, common: np.ndarray, frequency: np.ndarray):
                 probe, index = (len(x) - int(np.ceil(share * len(x) - 1e-6)) + 1 for share in (least, 2 * least / (1 + least)))
                 taken = np.lexsort((x, often))[:probe]
                 k = len(taken)
-                v.append(np.full(k, v_)), root.append(np.full(k, root_)), n.append(np.full(k, len(x))), value.append(x[taken]), place.append(np.arange(k)), first.append(np.arange(k) < index)
+                v.append(np.full(k, v_)), root.append(np.full(k, root_)), n.append(np.full(k, len(x))), value.append(x[taken]), place.append(np.arange(k)), first.append(np.arange(k) < index), row.append(np.full(k, len(row)))
             if v:
                 cols = [np.concatenate(c) for c in (v, root, n, value, place, first)]
                 cols[3] = cols[3].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 5 + (pa.bool_(),), strict=True)], ["v", "root", "n", "value", "place", "first"])
+                arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 5 + (pa.bool_(),), strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, b.column("cells").take(pa.array(np.concatenate(row)))], ["v", "root", "n", "value", "place", "first", "cells"])
 
     return run
 
 
 def _prefix_pairs(bags: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b) of bags (v, root, bag) of different roots that hold every pair of similarity ``least`` or more.
+    """Pairs (a < b) of bags (v, root, bag, cells) of different roots that hold every pair of similarity ``least`` or more.
 
     With all shingles in one order, rare ones first, the first shingle that two
     alike bags have in common stands early in both, and enough follow it in
     both. The order only decides how many other pairs come along.
     """
-    p = shared.written(bags.mapInArrow(_prefixes(least, *_frequent(bags)), "v long, root long, n long, value long, place long, first boolean"))
+    p = shared.written(bags.mapInArrow(_prefixes(least, *_frequent(bags)), "v long, root long, n long, value long, place long, first boolean, cells binary"))
     met = p.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
     met = shared.written(met.select("value", "n", F.ceil(F.sqrt("n") / 8).cast("int").alias("parts")))
     # the members of a shingle are met in several parts if they are many
@@ -301,31 +324,33 @@ def _prefix_pairs(bags: DataFrame, least: float) -> DataFrame:
     sized = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.v") < F.col("l.v")))
     enough = F.least(F.col("s.n") - F.col("s.place"), F.col("l.n") - F.col("l.place")) >= (F.col("s.n") + F.col("l.n")) * (least / (1 + least)) - 1e-6
     on = (F.col("s.value") == F.col("l.value")) & (F.col("s.part") == F.col("l.part")) & (F.col("s.root") != F.col("l.root")) & sized & (F.col("s.n") >= F.col("l.n") * least - 1e-6) & enough
-    return short.join(long_, on).select(F.least("s.v", "l.v").alias("a"), F.greatest("s.v", "l.v").alias("b"))
+    pairs = short.join(long_, on).select(F.col("s.v").alias("v"), F.col("l.v").alias("w"), F.col("s.cells").alias("cells_v"), F.col("l.cells").alias("cells_w"))
+    return _possible(pairs, least)
 
 
 def _bags(rows: DataFrame, wanted: DataFrame, sigs: DataFrame, size: int) -> DataFrame:
-    """v and bag of the vertices wanted (v and the key of one of its rows; a written table)."""
+    """v, bag and cells of the vertices wanted (v and the key of one of its rows; a written table)."""
     key = list(shared.KEY)
     if shared.few(wanted):
         found = rows.join(F.broadcast(wanted), key)
     else:
         repeats = sigs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         found = shared.dealt(rows, wanted, key, repeats)
-    return found.groupBy("v").agg(F.first("text").alias("text")).mapInArrow(_multisets(size), "v long, bag binary")
+    return found.groupBy("v").agg(F.first("text").alias("text")).mapInArrow(_multisets(size), "v long, bag binary, cells binary")
 
 
 def _alike(members: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """root of each vertex that has a link: the components of all alike members of common buckets."""
+    """root of each vertex that has a link: the components of all alike members (band, v, cells, hub, hub_cells) of common buckets."""
     written = shared.written
-    pairs = written(members.where("v != hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct())
+    first = members.where("v != hub").select("v", F.col("hub").alias("w"), F.col("cells").alias("cells_v"), F.col("hub_cells").alias("cells_w"))
+    pairs = written(_possible(first, least))
     links = written(_verified(pairs, bags, least))
     roots = components(links)
     for t in range(HUB_ROUNDS):
         open_ = written(_open(members, roots))
         if not open_.limit(1).count():
             return roots
-        fresh = _hub_pairs(open_, t).join(pairs, ["a", "b"], "left_anti")
+        fresh = _hub_pairs(open_, t, least).join(pairs, ["a", "b"], "left_anti")
         more = written(_verified(written(fresh), bags, least))
         if not more.limit(1).count():
             break
@@ -333,9 +358,9 @@ def _alike(members: DataFrame, bags: DataFrame, least: float) -> DataFrame:
         roots = components(links)
     open_ = written(_open(members, roots))
     small = open_.where(F.col("n") <= SMALL)
-    left, right = (small.select("band", F.col("v").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    left, right = (small.select("band", F.col("v").alias(x), F.col("root").alias(f"root_{x}"), F.col("cells").alias(f"cells_{x}")) for x in ("v", "w"))
     # within components nothing is left to find, so only pairs between two of them are made
-    across = left.join(right, "band").where("a < b and root_a != root_b").select("a", "b")
+    across = _possible(left.join(right, "band").where("v < w and root_v != root_w"), least)
     wide = written(open_.where(F.col("n") > SMALL).select("v", "root").distinct())
     if wide.limit(1).count():
         across = across.unionByName(_prefix_pairs(written(bags.join(shared.hinted(wide), "v")), least))
@@ -360,12 +385,17 @@ def near_groups(
             F.min(F.struct(*key)).alias("row"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")
         )
         vertices = written(one.select("h1", "h2", "row.*", "bands", "n", F.monotonically_increasing_id().alias("v")))
-        buckets = vertices.select("v", F.posexplode("bands").alias("i", "band"))
-        hubs = buckets.groupBy("band").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("n"))
-        hubs = written(hubs.where("n > 1"))
-        members = written(shared.dealt(buckets, hubs.select("band", "hub"), ["band"], hubs))
+        buckets = vertices.select("v", F.explode("bands").alias("band"))
+        sizes = written(_counted(buckets, "band").where("n > 1"))
+        members = written(shared.dealt(buckets, sizes, ["band"], sizes))
         wanted = written(vertices.select("v", *key).join(members.select("v").distinct(), "v"))
         bags = written(_bags(rows, wanted, sigs, size))
+        # one vertex is the hub of as many buckets as can be, so that a vertex meets few hubs
+        reach = members.groupBy("v").agg(F.sum("n").alias("reach"))
+        members = written(members.drop("n").join(reach, "v").join(bags.select("v", "cells"), "v"))
+        hub = F.max(F.struct("reach", (-F.col("v")).alias("back"), F.col("v").alias("hub"), F.col("cells").alias("hub_cells"))).alias("h")
+        hubs = members.groupBy("band").agg(hub).select("band", "h.hub", "h.hub_cells")
+        members = written(shared.dealt(members.drop("reach"), hubs, ["band"], sizes))
         roots = _alike(members, bags, least)
         rooted = vertices.join(roots, "v", "left").select("h1", "h2", F.coalesce("root", "v").alias("root"), "n")
         rooted = written(rooted)

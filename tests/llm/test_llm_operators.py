@@ -92,6 +92,26 @@ def test_near_pairs_that_meet_only_in_large_buckets(spark):
     assert len(got) == 600 and all(g.class_id == g.doc_id // 2 * 2 and g.class_size == 2 for g in got)
 
 
+def test_near_pairs_that_counts_rule_out_are_not_compared(spark, monkeypatch):
+    compared, verified = [], neardedup._verified
+    monkeypatch.setattr(neardedup, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    got = neardedup.near_groups(_of_one_passage(spark, 28, 20)).collect()
+    assert all(g.class_id == g.doc_id // 2 * 2 and g.class_size == 2 for g in got)
+    # 300 pairs are alike; texts of different pairs are a little below
+    assert sum(compared) < 2 * len(got)
+
+
+def test_counts_by_cell_rule_out_no_alike_pair():
+    r = np.random.default_rng(3)
+    for n in (1, 3, 40, 400, 60_000):
+        for share in (0.5, 0.75, 0.8, 0.85, 1.0):
+            own = r.integers(0, 1 << 63, 2 * n).astype(np.uint64) * np.uint64(2)
+            x, y = own[:n], np.concatenate([own[: int(n * share)], own[n : 2 * n - int(n * share)]])
+            p, q = (np.minimum(np.bincount((v >> np.uint64(57)).astype(np.int64), minlength=neardedup.CELLS), neardedup.MANY).astype(np.uint8)[None] for v in (x, y))
+            both = len(np.intersect1d(x, y))
+            assert neardedup._may_be_alike(p, q, 0.8)[0] or both < 0.8 * (2 * n - both)
+
+
 def test_near_many_classes_in_one_bucket(spark):
     # bands of one place: any two of them together still put far more than 16 texts in a bucket
     got = neardedup.near_groups(_of_one_passage(spark, 26, 19), n_rows=1).collect()
